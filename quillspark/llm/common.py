@@ -63,3 +63,13 @@ def connected_groups(edges: DataFrame) -> DataFrame:
     return star.select(F.col("u").alias("id"), F.col("v").alias("root")).union(
         star.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     )
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker: shipped modules are rebuilt for every task."""
+    import types
+
+    return sys.modules.setdefault("_worker_cache_of_shipped_code", types.ModuleType("cache")).__dict__
+
+
+ship(__name__)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_formatting
+from .media import op8_media_columns
 from .mixing import OP10_SQL, op10_mixing
+from .packing import op4_best_fit_packing
 from .sharding import OP3_SQL, op3_sharding
 from .url_filter import OP1_SQL, op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_sharding, op5_chat_formatting, op10_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op3_sharding, op4_best_fit_packing, op5_chat_formatting, op8_media_columns, op10_mixing,
+)}
 
 SQL = {
     "op1_url_filter": OP1_SQL,
