@@ -7,10 +7,11 @@ from .media import op8_media_columns
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op4_best_fit_packing
 from .sharding import OP3_SQL, op3_sharding
+from .toxicity import op6_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op3_sharding, op4_best_fit_packing, op5_chat_formatting, op8_media_columns, op10_mixing,
+    op1_url_filter, op3_sharding, op4_best_fit_packing, op5_chat_formatting, op6_toxicity, op8_media_columns, op10_mixing,
 )}
 
 SQL = {
