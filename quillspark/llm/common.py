@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,50 @@ def connected_groups(edges: DataFrame) -> DataFrame:
     )
 
 
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+    """Verified links among members of the same buckets, enough of them to connect all that link.
+
+    ``buckets(b, id)``: distinct pairs of longs. ``verify`` takes ``(a, b)`` with a < b and returns
+    those that link. No bucket's pairs are spelt out: in each round a bucket's leader - the member
+    that meets the most others over all buckets, so the likely original of its copies - is compared
+    with the members that aren't connected to it yet, in one row each. After the rounds, pairs of
+    members that are still in different groups are compared, which leaves no pair of a bucket
+    untried unless its two are connected already.
+    """
+    spark = buckets.sparkSession
+    counts = buckets.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(buckets.join(counts, "b").select("b", "id", "n"))
+    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    left = cut(shared.join(degree, "id").select("b", "id", "degree", F.col("id").alias("root")))
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    pair = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
+    for k in range(rounds + 1):
+        if left.isEmpty():
+            break
+        if k < rounds:
+            lead = F.max(F.struct("degree", (-F.col("id")).alias("id")))
+            top = left.groupBy("b").agg(lead.alias("top"), F.max_by("root", F.struct("degree", (-F.col("id")))).alias("top_root"))
+            new = left.join(top, "b").withColumn("leader", -F.col("top.id")).where("root <> top_root").select(*pair).distinct()
+        else:
+            one, two = left.select("b", "id", "root"), left.select("b", F.col("id").alias("leader"), F.col("root").alias("other"))
+            new = one.join(two, "b").where("id < leader and root <> other").select(*pair).distinct()
+        found = cut(verify(new))
+        links = cut(links.union(found))
+        if k == rounds:
+            break
+        group = connected_groups(links)
+        rooted = left.drop("root").join(group.select("id", F.col("root").alias("g")), "id", "left").select(
+            "b", "id", "degree", F.coalesce("g", "id").alias("root")
+        )
+        # a leader has met all its bucket; it stays only as long as others there may meet its group
+        if k + 1 < rounds:
+            gone = top.select("b", (-F.col("top.id")).alias("id"), F.lit(True).alias("led"))
+            rooted = rooted.join(gone, ["b", "id"], "left").withColumn("degree", F.when(F.col("led"), F.lit(0)).otherwise(F.col("degree"))).drop("led")
+        open_ = rooted.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
+        left = cut(rooted.join(open_, "b"))
+    return links
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker: shipped modules are rebuilt for every task."""
     import types

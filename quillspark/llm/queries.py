@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_formatting
+from .embed_dedup import op2_embedding_near_dedup
 from .media import op8_media_columns
+from .minhash import op9_minhash_near_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op4_best_fit_packing
 from .sharding import OP3_SQL, op3_sharding
@@ -11,7 +13,8 @@ from .toxicity import op6_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op3_sharding, op4_best_fit_packing, op5_chat_formatting, op6_toxicity, op8_media_columns, op10_mixing,
+    op1_url_filter, op2_embedding_near_dedup, op3_sharding, op4_best_fit_packing, op5_chat_formatting, op6_toxicity, op8_media_columns, op9_minhash_near_dedup,
+    op10_mixing,
 )}
 
 SQL = {
