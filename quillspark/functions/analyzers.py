@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,8 +90,6 @@ def max_match(words: set[str], longest: bool = True) -> Analyzer:
 
     The column half is a pandas UDF: matching against a dictionary can't be expressed in SQL.
     """
-    import pandas as pd
-
     most = max(map(len, words), default=1)
 
     def tokens(s: str) -> list[str]:

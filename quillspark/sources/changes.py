@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 
 def latest(changes: DataFrame, key: str, seq: str) -> DataFrame:
-    """The last change of each id; rows of equal seq are ordered by their other columns' hash."""
+    """The last change of each id; rows of equal seq are ordered by a hash of their other columns."""
     rest = [c for c in changes.columns if c != key]
-    order = F.struct(F.col(seq), F.xxhash64(*rest))
+    order = F.struct(F.col(seq), F.xxhash64(F.to_json(F.struct(*rest))))
     return changes.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("c")).select(key, "c.*").select(*changes.columns)
 
 
