@@ -69,7 +69,21 @@ def connected_groups(edges: DataFrame) -> DataFrame:
     )
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+RENAMED = {"id": "leader", "root": "other", "size": "size2", "common": "common2"}
+
+
+def _that_may_link(left: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    known = left.join(facts, "id")
+    least = known.groupBy("b").agg(F.min("size").alias("least"))
+    may = known.join(least, "b").where(f"common >= {similarity} * (size + greatest(least, common) - common)").drop("least")
+    open_ = may.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
+    return cut(may.join(open_, "b"))
+
+
+def link_buckets(
+    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3,
+    facts: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0,
+) -> DataFrame:
     """Verified links among members of the same buckets, enough of them to connect all that link.
 
     ``buckets(b, id)``: distinct pairs of longs. ``verify`` takes ``(a, b)`` with a < b and returns
@@ -78,6 +92,11 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], r
     with the members that aren't connected to it yet, in one row each. After the rounds, pairs of
     members that are still in different groups are compared, which leaves no pair of a bucket
     untried unless its two are connected already.
+
+    ``facts``, for overlap similarities: ids -> ``(id, size, common)``, where ``common`` counts what
+    an item has in common with any other of the ids at most. Pairs whose overlap can't reach
+    ``similarity`` by these numbers are left out of the last step: first, by a bucket's smallest
+    size, items that can't link with any there, then single pairs.
     """
     spark = buckets.sparkSession
     counts = buckets.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
@@ -94,8 +113,12 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], r
             top = left.groupBy("b").agg(lead.alias("top"), F.max_by("root", F.struct("degree", (-F.col("id")))).alias("top_root"))
             new = left.join(top, "b").withColumn("leader", -F.col("top.id")).where("root <> top_root").select(*pair).distinct()
         else:
-            one, two = left.select("b", "id", "root"), left.select("b", F.col("id").alias("leader"), F.col("root").alias("other"))
-            new = one.join(two, "b").where("id < leader and root <> other").select(*pair).distinct()
+            may = F.expr("id < leader and root <> other")
+            if facts is not None:
+                left = _that_may_link(left, facts(left.select("id").distinct()), similarity)
+                may &= F.expr(f"least(common, common2) >= {similarity} * (size + size2 - least(common, common2))")
+            one, two = left.drop("degree"), left.drop("degree").toDF(*(RENAMED.get(c, c) for c in left.columns if c != "degree"))
+            new = one.join(two, "b").where(may).select(*pair).distinct()
         found = cut(verify(new))
         links = cut(links.union(found))
         if k == rounds:
