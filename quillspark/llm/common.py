@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,7 +35,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stratum(column: str):
+def whole_rows(df: DataFrame, *replaced: str) -> Column:
+    """All columns of ``df`` but those that an operator replaces, as one column: no name can clash."""
+    gone = {c.lower() for c in replaced}
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone)).alias("row")
+
+
+def stratum(column: str) -> Column:
     """A column as a never-null text key; null stays apart from every value, the empty one too."""
     return F.when(F.col(column).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(column).cast("string")))
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_groups, cut, documents, link_buckets, ship, worker_cache
+from .common import connected_groups, cut, documents, link_buckets, ship, whole_rows, worker_cache
 
 #: Shorter lines are left alone, copies of them too: they say too little to be copies of each other.
 WORDS = 5
@@ -165,17 +165,16 @@ def dedup_lines(
     lines, groups = line_groups(docs, key, text, words, distance, similarity)
     gone = (
         lines.join(groups, ["h", "g"]).where(F.struct("id", "no") != F.col("keep"))
-        .groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_set("no")).alias("removed_lines"))  # of one document
+        .groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone"))  # of one document
     )
-    joined = docs.drop("removed_lines").join(gone, F.col(key).cast("bigint") == F.col("_id"), "left").drop("_id")
-    all_lines = F.split(F.col(text), "\n", -1)
+    rows = docs.select(whole_rows(docs, "removed_lines"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    joined = rows.join(gone, F.col("key") == F.col("id"), "left")
     stays = F.filter(
-        F.transform(all_lines, lambda x, i: F.when(~F.array_contains("removed_lines", i), x)), lambda x: x.isNotNull()
+        F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()
     )
-    return joined.withColumns({
-        text: F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n")),
-        "removed_lines": F.coalesce("removed_lines", F.expr("cast(array() as array<int>)")),
-    })
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    kept = [left.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "removed_lines"]
+    return joined.select(*kept, F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("removed_lines"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_groups, cut, documents, link_buckets, ship, worker_cache
+from .common import connected_groups, cut, documents, link_buckets, ship, whole_rows, worker_cache
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -273,11 +273,11 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     Rows with a null id are kept.
     """
     groups = near_duplicates(docs, key, text, **options)
-    kept = groups.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_n"))
-    held = docs.join(kept, key)
-    once = held.where("_n = 1").drop("_n")
-    again = held.where("_n > 1").dropDuplicates([key, text]).drop("_n")
-    return once.unionByName(again).unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
+    kept = groups.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    held = docs.select(whole_rows(docs), F.col(key).alias("key"), F.col(text).alias("text")).join(kept, "key")
+    once = held.where("n = 1")
+    again = held.where("n > 1").dropDuplicates(["key", "text"])
+    return once.union(again).select("row.*").union(docs.where(F.col(key).isNull()))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

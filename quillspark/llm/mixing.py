@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stratum
+from .common import documents, stratum, whole_rows
 
 SEED = "poisson-1"
 #: The registered query and the pipeline give every source a share in proportion to rows ** POWER.
@@ -57,25 +57,25 @@ def mix_sources(
     all null keys. Empty tables give empty results. Clashing columns of these names are replaced.
     ``mix_order`` is random and sorts the whole output; each partition is written in that order.
     """
-    base = rows.drop("copy", "copies", "rate", "mix_order").withColumn("_s", stratum(source))
-    sizes = base.groupBy("_s").agg(F.count("*").alias("_n"))
+    base = rows.select(whole_rows(rows, "copy", "copies", "rate", "mix_order"), stratum(source).alias("s"), F.col(key).alias("key"))
+    sizes = base.groupBy("s").agg(F.count("*").alias("n"))
     if weights is None:
-        weight = F.pow(F.col("_n").cast("double"), F.lit(POWER))
+        weight = F.pow(F.col("n").cast("double"), F.lit(POWER))
     else:
         named = [("-" if k is None else "=" + k, float(v)) for k, v in weights.items()]
         share = F.create_map(*(F.lit(x) for kv in named for x in kv)) if named else None
-        weight = F.coalesce(F.try_element_at(share, F.col("_s")), F.lit(0.0)) if named else F.lit(0.0)
+        weight = F.coalesce(F.try_element_at(share, F.col("s")), F.lit(0.0)) if named else F.lit(0.0)
     # one row: sums over the sources
-    whole = sizes.agg(F.sum("_n").alias("_all"), F.sum(weight).alias("_w"))
-    all_rows, all_weight = whole.first()
+    all_rows, all_weight = sizes.agg(F.sum("n"), F.sum(weight)).first()
     wanted = float(target_rows if target_rows is not None else all_rows or 0)
     rates = sizes.select(
-        "_s", (F.lit(wanted) * weight / F.lit(all_weight or 1.0) / F.col("_n")).alias("rate")
-    ).withColumn("_steps", poisson_steps(F.col("rate")))
-    drawn = base.withColumn("_u", hashed_unit(seed, F.col(key))).join(rates, "_s")
-    counted = drawn.withColumn("copies", F.size(F.filter("_steps", lambda x: x <= F.col("_u")))).where("copies > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_s", "_steps", "_u")
-    mixed = copies.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.coalesce(F.col(key).cast("string"), F.lit("-")), "copy")))
+        "s", (F.lit(wanted) * weight / F.lit(all_weight or 1.0) / F.col("n")).alias("rate")
+    ).withColumn("steps", poisson_steps(F.col("rate")))
+    drawn = base.withColumn("u", hashed_unit(seed, F.col("key"))).join(rates, "s")
+    counted = drawn.withColumn("copies", F.size(F.filter("steps", lambda x: x <= F.col("u")))).where("copies > 0")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    order = F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.coalesce(F.col("key").cast("string"), F.lit("-")), "copy"))
+    mixed = copies.select("row.*", "rate", "copies", "copy", order.alias("mix_order"))
     if not shuffle:
         return mixed
     # a hash of the random order deals the copies out evenly whatever their source or key

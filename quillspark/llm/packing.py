@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, documents, ship, worker_cache
+from .common import cut, documents, ship, whole_rows, worker_cache
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json
@@ -248,8 +248,9 @@ def pack(pieces: DataFrame, length: str = "length", keys: tuple[str, ...] = ("do
     each; an empty table gives an empty result. ``pieces`` is read twice: pass a table or a cut.
     """
     spark = pieces.sparkSession
-    base = pieces.drop("sequence_id", "offset").withColumn("_l", F.col(length).cast("bigint"))
-    histogram = {r[0]: r[1] for r in base.groupBy("_l").count().collect()}  # at most ``capacity`` rows
+    own = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    base = pieces.select(whole_rows(pieces, "sequence_id", "offset"), F.col(length).cast("bigint").alias("l"), *own)
+    histogram = {r[0]: r[1] for r in base.groupBy("l").count().collect()}  # at most ``capacity`` rows
     total = sum(histogram.values())
     sequences, plan = plan_packing(histogram, capacity)
     by_length: dict[int, list] = {l: [] for l in histogram}
@@ -257,22 +258,21 @@ def pack(pieces: DataFrame, length: str = "length", keys: tuple[str, ...] = ("do
         by_length[l].append((a, b, first, offset))
     table = spark.createDataFrame(
         [(l, sorted(rows)) for l, rows in by_length.items()],
-        "_l bigint, _plan array<struct<a:bigint,b:bigint,first:bigint,offset:bigint>>",
+        "l bigint, plan array<struct<a:bigint,b:bigint,first:bigint,offset:bigint>>",
     )
+    names = [f"k{i}" for i in range(len(keys))]
     cells = max(64, -(-total // CELL_ROWS))
-    marked = base.withColumn("_c", F.expr(f"pmod(xxhash64({', '.join(keys)}), {cells})"))
-    starts = marked.groupBy("_l", "_c").agg(F.count("*").alias("_n")).withColumn(
-        "_from", F.sum("_n").over(Window.partitionBy("_l").orderBy("_c")) - F.col("_n")
-    ).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_l", "_c").orderBy(*keys)) - 1
-    ranked = marked.withColumn("_r", rank).join(starts, ["_l", "_c"]).withColumn("_r", F.col("_r") + F.col("_from"))
+    marked = base.withColumn("c", F.expr(f"pmod(xxhash64({', '.join(names)}), {cells})"))
+    starts = marked.groupBy("l", "c").agg(F.count("*").alias("n")).withColumn(
+        "before", F.sum("n").over(Window.partitionBy("l").orderBy("c")) - F.col("n")
+    ).drop("n")
+    rank = F.row_number().over(Window.partitionBy("l", "c").orderBy(*names)) - 1
+    ranked = marked.withColumn("r", rank).join(starts, ["l", "c"]).withColumn("r", F.col("r") + F.col("before"))
     small = F.broadcast(table) if len(plan) <= BROADCAST_PLAN else table
-    found = ranked.join(small, "_l").withColumn(
-        "_p", F.expr("element_at(filter(_plan, p -> p.a <= _r and _r < p.b), 1)")
+    found = ranked.join(small, "l").withColumn(
+        "p", F.expr("element_at(filter(plan, p -> p.a <= r and r < p.b), 1)")
     )
-    return found.withColumns(
-        {"sequence_id": F.expr("_p.first + _r - _p.a"), "offset": F.col("_p.offset")}
-    ).drop("_l", "_c", "_from", "_r", "_plan", "_p")
+    return found.select("row.*", F.expr("p.first + r - p.a").alias("sequence_id"), F.col("p.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:

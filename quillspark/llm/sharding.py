@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, stratum
+from .common import documents, stratum, whole_rows
 
 SEED = "interleave-1"
 SHARDS = 16
@@ -32,42 +32,40 @@ def shard_rows(
     that tie in key are ordered by ``ties``; rows equal in all of those are interchangeable. Empty
     tables give empty results. Clashing columns named shard or slot are replaced.
     """
-    base = rows.drop("shard", "slot").withColumn("_s", stratum(source))
-    sizes = base.groupBy("_s").agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    tie = [F.col(c).alias(f"t{i}") for i, c in enumerate(ties)]
+    base = rows.select(whole_rows(rows, "shard", "slot"), stratum(source).alias("s"), F.col(key).alias("key"), *tie)
+    sizes = base.groupBy("s").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     cells = max(LEAST_CELLS, -(-total // CELL_ROWS))
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit("-"))))
-    cell = F.expr(f"(cast(conv(substring(_h, 1, 10), 16, 10) as bigint) * {cells}) div {1 << 40}")
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("key").cast("string"), F.lit("-"))))
+    cell = F.expr(f"(cast(conv(substring(h, 1, 10), 16, 10) as bigint) * {cells}) div {1 << 40}")
 
     # where each cell of a source starts, from counts that are combined before the shuffle
-    marked = base.withColumn("_h", digest).withColumn("_c", cell)
+    marked = base.withColumn("h", digest).withColumn("c", cell)
     starts = (
-        marked.groupBy("_s", "_c").agg(F.count("*").alias("_k"))
-        .withColumn("_from", F.sum("_k").over(Window.partitionBy("_s").orderBy("_c")) - F.col("_k"))
-        .join(sizes, "_s").select("_s", "_c", "_from", "_n")
+        marked.groupBy("s", "c").agg(F.count("*").alias("k"))
+        .withColumn("before", F.sum("k").over(Window.partitionBy("s").orderBy("c")) - F.col("k"))
+        .join(sizes, "s").select("s", "c", "before", "n")
     )
-    order = [F.col("_h"), F.col(key), *map(F.col, ties)]
+    order = ["h", "key", *(f"t{i}" for i in range(len(ties)))]
     ranked = marked.withColumn(
-        "_r", F.row_number().over(Window.partitionBy("_s", "_c").orderBy(*order)) - 1
-    ).join(starts, ["_s", "_c"]).withColumn("_r", F.col("_r") + F.col("_from"))
+        "r", F.row_number().over(Window.partitionBy("s", "c").orderBy(*order)) - 1
+    ).join(starts, ["s", "c"]).withColumn("r", F.col("r") + F.col("before"))
 
     # how many rows stand before each bucket of the interleaved order follows from the sizes alone
-    bucket = F.expr(f"((2 * _r + 1) * {cells}) div (2 * _n)")
-    before = (
-        sizes.select("_n", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("_b"))
-        .groupBy(F.col("_b").cast("bigint").alias("_b"))
-        .agg(F.sum(F.expr(f"if(_b = 0, 0, ((2 * _n * _b - 1) div {cells} + 1) div 2)")).alias("_at"))
+    bucket = F.expr(f"((2 * r + 1) * {cells}) div (2 * n)")
+    first = (
+        sizes.select("n", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("b"))
+        .groupBy(F.col("b").cast("bigint").alias("b"))
+        .agg(F.sum(F.expr(f"if(b = 0, 0, ((2 * n * b - 1) div {cells} + 1) div 2)")).alias("first"))
     )
-    place = F.row_number().over(Window.partitionBy("_b").orderBy("_f", "_s", "_r")) - 1
+    place = F.row_number().over(Window.partitionBy("b").orderBy("f", "s", "r")) - 1
     placed = (
-        ranked.withColumns({"_b": bucket, "_f": (2 * F.col("_r") + 1) / (2 * F.col("_n"))})
-        .withColumn("_g", place).join(before, "_b").withColumn("_g", F.col("_g") + F.col("_at"))
-    )
-    return (
-        placed.withColumn("shard", F.expr(f"cast((_g * {shards}) div {max(total, 1)} as int)"))
-        .withColumn("slot", F.expr(f"_g - (shard * {total}L + {shards - 1}) div {shards}"))
-        .drop("_s", "_n", "_h", "_c", "_r", "_from", "_b", "_f", "_g", "_at")
+        ranked.withColumns({"b": bucket, "f": (2 * F.col("r") + 1) / (2 * F.col("n"))})
+        .withColumn("g", place).join(first, "b").withColumn("g", F.col("g") + F.col("first"))
+        .withColumn("shard", F.expr(f"cast((g * {shards}) div {max(total, 1)} as int)"))
     )
+    return placed.select("row.*", "shard", F.expr(f"g - (shard * {total}L + {shards - 1}) div {shards}").alias("slot"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

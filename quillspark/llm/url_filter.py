@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import whole_rows
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Up to so many rules are filed in a map inside the plan; more go through a join on the token.
@@ -86,19 +88,15 @@ def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, default: s
     host and path and are judged like any other; empty tables give empty results; repeated rows and
     ids are judged row by row. Clashing input columns of these four names are replaced.
     """
-    clash = {"host", "path", "rule", "verdict", "_url"} & set(pages.columns) - {"url"}
-    base = pages.drop(*clash)
     host, path = split_url(F.col("url"))
-    placed = base.withColumns({"host": host, "path": path})
+    placed = pages.select(whole_rows(pages, "host", "path", "rule", "verdict"), host.alias("host"), path.alias("path"))
     if len(rules) <= INLINE_RULES:
-        filed = file_rules(placed, rules)
-        found = _inline(filed)
-        out = placed.withColumn("_hit", found)
+        judged = placed.withColumn("hit", _inline(file_rules(placed, rules)))
     else:
-        out = _joined(placed, rules)
-    return out.withColumns(
-        {"rule": F.col("_hit.name"), "verdict": F.coalesce(F.col("_hit.verdict"), F.lit(default))}
-    ).drop("_hit")
+        judged = _joined(placed, rules)
+    return judged.select(
+        "row.*", "host", "path", F.col("hit.name").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict")
+    )
 
 
 def _rule_structs(rules: list[UrlRule]) -> Column:
@@ -132,15 +130,15 @@ def _joined(placed: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
         [(t, -len(r.name), r.name, r.verdict, r.pattern) for t, rs in filed.items() for r in rs],
         "token string, rank int, name string, verdict string, pattern string",
     )
-    places = placed.select(F.concat("host", "path").alias("_place")).distinct()
+    places = placed.select(F.concat("host", "path").alias("place")).distinct()
     hits = (
-        places.select("_place", F.explode(F.concat(F.array(F.lit("")), _tokens(F.col("_place")))).alias("token"))
+        places.select("place", F.explode(F.concat(F.array(F.lit("")), _tokens(F.col("place")))).alias("token"))
         .join(table, "token")
-        .where(F.regexp_like("_place", F.col("pattern")))
-        .groupBy("_place")
-        .agg(F.min(F.struct("rank", "name", "verdict", "pattern")).alias("_hit"))
+        .where(F.regexp_like("place", F.col("pattern")))
+        .groupBy("place")
+        .agg(F.min(F.struct("rank", "name", "verdict", "pattern")).alias("hit"))
     )
-    return placed.withColumn("_place", F.concat("host", "path")).join(hits, "_place", "left").drop("_place")
+    return placed.withColumn("place", F.concat("host", "path")).join(hits, "place", "left").drop("place")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

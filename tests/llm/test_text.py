@@ -6,6 +6,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from made_up import prose
 from pyspark.sql import functions as F
 
 from quillspark.llm import media as M
@@ -16,8 +17,6 @@ from quillspark.llm.embed_dedup import near_vectors
 from quillspark.llm.line_dedup import _scheme, dedup_lines, simhashes
 from quillspark.llm.toxicity import fit_isotonic, fit_toxicity, fit_trees, score_toxicity
 
-from .conftest import prose
-
 # --- packing ---
 
 
@@ -65,7 +64,8 @@ def test_plans_place_every_length_once(seed):
             seen[length].add(k)
             rows.append({"sequence_id": first + k - a, "offset": offset, "length": length})
     assert {n: len(s) for n, s in seen.items()} == count
-    assert packed_well(rows, 2048) == made <= 1.02 * -(-sum(lengths) // 2048) + 1
+    # of 700s and 600s no four fit together, so 601 of them need 201 sequences whatever their sum
+    assert packed_well(rows, 2048) == made <= (1.02 * -(-sum(lengths) // 2048) + 1 if seed else 201)
 
 
 def test_odd_packing(odd_documents, no_documents):
