@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete what earlier rounds shuffled: it waits for the driver's collector."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -46,23 +55,75 @@ def stratum(column: str) -> Column:
     return F.when(F.col(column).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(column).cast("string")))
 
 
-def connected_groups(edges: DataFrame) -> DataFrame:
+#: Edges that one task contracts at once (16 bytes each).
+CHUNK_EDGES = 2_000_000
+
+
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids on the edges (a, b), sorted, and the smallest id that each reaches."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        lower, least = root.copy(), np.minimum(root[x], root[y])
+        np.minimum.at(lower, root[x], least)
+        np.minimum.at(lower, root[y], least)
+        while (lower[lower] != lower).any():
+            lower = lower[lower]
+        if (lower == root).all():
+            return ids, ids[root]
+        root = lower
+
+
+def _contract(edges: DataFrame, chunk: int) -> DataFrame:
+    """(a, b) edges -> fewer that connect the same: those of each task, ``chunk`` at a time, as (id, smallest id)."""
+
+    def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[pd.DataFrame] = []
+
+        def forest() -> tuple[np.ndarray, np.ndarray]:
+            ids, root = contracted(np.concatenate([a, *(p["a"] for p in held)]), np.concatenate([b, *(p["b"] for p in held)]))
+            return ids[ids != root], root[ids != root]
+
+        for p in batches:
+            held.append(p)
+            if sum(map(len, held)) > chunk // 4:
+                a, b = forest()
+                held = []
+                if len(a) > chunk:
+                    yield pd.DataFrame({"a": a, "b": b})
+                    a, b = a[:0], b[:0]
+        a, b = forest()
+        yield pd.DataFrame({"a": a, "b": b})
+
+    return edges.mapInPandas(contract, "a bigint, b bigint")
+
+
+def connected_groups(edges: DataFrame, chunk: int = CHUNK_EDGES) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(id, root)``: the smallest id reachable, for every id on an edge.
 
-    Alternates large-star and small-star steps. Minima are combined before the shuffle and joined
-    back, so a hub with very many neighbours is a skewed join that adaptive execution splits, never
-    one group in one task. Ends when a round leaves the edges as they were.
+    First every task contracts its own edges to a spanning forest. If what is left fits one chunk, a
+    single task ends the work. More edges go on in rounds of large-star and small-star steps: minima
+    are combined before the shuffle and joined back, so a hub with very many neighbours is a skewed
+    join that adaptive execution splits, never one group in one task. The rounds end when one leaves
+    the edges as they were.
     """
-    star = cut(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
+    star = cut(_contract(edges.select("a", "b").where("a <> b"), chunk))
+    if star.count() <= chunk:
+        star = cut(_contract(star.repartition(1), chunk))
+    else:
+        star = _star_rounds(star)
+    return star.select(F.col("a").alias("id"), F.col("b").alias("root")).union(star.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+
+
+def _star_rounds(edges: DataFrame) -> DataFrame:
+    star = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     before = None
     while True:
         state = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
-            break
+            return star.select(F.col("u").alias("a"), F.col("v").alias("b"))
         before = state
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -70,9 +131,7 @@ def connected_groups(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-    return star.select(F.col("u").alias("id"), F.col("v").alias("root")).union(
-        star.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-    )
+        release(star.sparkSession)
 
 
 RENAMED = {"id": "leader", "root": "other", "size": "size2", "common": "common2"}
@@ -115,9 +174,9 @@ def link_buckets(
         if left.isEmpty():
             break
         if k < rounds:
-            lead = F.max(F.struct("degree", (-F.col("id")).alias("id")))
-            top = left.groupBy("b").agg(lead.alias("top"), F.max_by("root", F.struct("degree", (-F.col("id")))).alias("top_root"))
-            new = left.join(top, "b").withColumn("leader", -F.col("top.id")).where("root <> top_root").select(*pair).distinct()
+            lead = F.max(F.struct("degree", (-F.col("id")).alias("id"), "root")).alias("top")
+            met = cut(left.join(left.groupBy("b").agg(lead), "b").select("b", "id", "degree", "root", (-F.col("top.id")).alias("leader"), F.col("top.root").alias("top_root")))
+            new = met.where("root <> top_root").select(*pair).distinct()
         else:
             may = F.expr("id < leader and root <> other")
             if facts is not None:
@@ -125,20 +184,17 @@ def link_buckets(
                 may &= F.expr(f"least(common, common2) >= {similarity} * (size + size2 - least(common, common2))")
             one, two = left.drop("degree"), left.drop("degree").toDF(*(RENAMED.get(c, c) for c in left.columns if c != "degree"))
             new = one.join(two, "b").where(may).select(*pair).distinct()
-        found = cut(verify(new))
-        links = cut(links.union(found))
+        links = links.union(cut(verify(new)))
         if k == rounds:
             break
-        group = connected_groups(links)
-        rooted = left.drop("root").join(group.select("id", F.col("root").alias("g")), "id", "left").select(
-            "b", "id", "degree", F.coalesce("g", "id").alias("root")
-        )
         # a leader has met all its bucket; it stays only as long as others there may meet its group
-        if k + 1 < rounds:
-            gone = top.select("b", (-F.col("top.id")).alias("id"), F.lit(True).alias("led"))
-            rooted = rooted.join(gone, ["b", "id"], "left").withColumn("degree", F.when(F.col("led"), F.lit(0)).otherwise(F.col("degree"))).drop("led")
+        group = connected_groups(links).select("id", F.col("root").alias("g"))
+        rooted = met.join(group, "id", "left").select(
+            "b", "id", F.when((F.col("id") == F.col("leader")) & F.lit(k + 1 < rounds), F.lit(0)).otherwise(F.col("degree")).alias("degree"), F.coalesce("g", "id").alias("root")
+        )
         open_ = rooted.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
         left = cut(rooted.join(open_, "b"))
+        release(spark)
     return links
 
 

@@ -164,10 +164,11 @@ def union_find(pairs, ids):
     return {i: find(i) for i in ids}
 
 
-def test_connected_groups(spark):
+@pytest.mark.parametrize("chunk", [2_000_000, 40])
+def test_connected_groups(spark, chunk):
     r = random.Random(1)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)] + [(7, 7)]
-    got = {x["id"]: x["root"] for x in connected_groups(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {x["id"]: x["root"] for x in connected_groups(spark.createDataFrame(edges, "a bigint, b bigint"), chunk).collect()}
     want = union_find(edges, {i for e in edges if e[0] != e[1] for i in e})
     assert got == want
     assert connected_groups(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
