@@ -154,7 +154,8 @@ def link_buckets(
     ``buckets(b, id)``: distinct pairs of longs. ``verify`` takes ``(a, b)`` with a < b and returns
     those that link. No bucket's pairs are spelt out: in each round a bucket's leader - the member
     that meets the most others over all buckets, so the likely original of its copies - is compared
-    with the members that aren't connected to it yet, in one row each. After the rounds, pairs of
+    with the members that aren't connected to it yet, in one row each. In the first round a member
+    meets only the foremost of its buckets' leaders, which connects most copies. After the rounds, pairs of
     members that are still in different groups are compared, which leaves no pair of a bucket
     untried unless its two are connected already.
 
@@ -175,8 +176,13 @@ def link_buckets(
             break
         if k < rounds:
             lead = F.max(F.struct("degree", (-F.col("id")).alias("id"), "root")).alias("top")
-            met = cut(left.join(left.groupBy("b").agg(lead), "b").select("b", "id", "degree", "root", (-F.col("top.id")).alias("leader"), F.col("top.root").alias("top_root")))
-            new = met.where("root <> top_root").select(*pair).distinct()
+            met = cut(left.join(left.groupBy("b").agg(lead), "b").select("b", "id", "degree", "root", (-F.col("top.id")).alias("leader"), F.col("top.degree").alias("rank"), F.col("top.root").alias("top_root")))
+            new = met.where("root <> top_root")
+            if k:
+                new = new.select(*pair).distinct()
+            else:
+                best = F.max_by("leader", F.struct("rank", -F.col("leader"))).alias("leader")
+                new = new.groupBy("id").agg(best).select(*pair)
         else:
             may = F.expr("id < leader and root <> other")
             if facts is not None:
@@ -187,10 +193,10 @@ def link_buckets(
         links = links.union(cut(verify(new)))
         if k == rounds:
             break
-        # a leader has met all its bucket; it stays only as long as others there may meet its group
+        # a leader that has met all its bucket stays only as long as others there may meet its group
         group = connected_groups(links).select("id", F.col("root").alias("g"))
         rooted = met.join(group, "id", "left").select(
-            "b", "id", F.when((F.col("id") == F.col("leader")) & F.lit(k + 1 < rounds), F.lit(0)).otherwise(F.col("degree")).alias("degree"), F.coalesce("g", "id").alias("root")
+            "b", "id", F.when((F.col("id") == F.col("leader")) & F.lit(0 < k < rounds - 1), F.lit(0)).otherwise(F.col("degree")).alias("degree"), F.coalesce("g", "id").alias("root")
         )
         open_ = rooted.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
         left = cut(rooted.join(open_, "b"))
