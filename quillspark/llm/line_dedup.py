@@ -67,37 +67,32 @@ def simhashes(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def line_digests(words: int = WORDS):
-    """A pandas UDF: text -> arrays of number, two hashes and SimHash of its lines of ``words`` words or more."""
+    """A pandas UDF: line -> (h, g: two hashes of its normal words, s: their SimHash); null under ``words`` words."""
 
-    @F.pandas_udf("no array<int>, h array<bigint>, g array<bigint>, s array<bigint>")
+    @F.pandas_udf("h bigint, g bigint, s bigint")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        for texts in batches:
-            rows, counts, ends, hashes = [], [], [], []
+        for lines in batches:
+            at, whole, counts, hashes = [], [], [], []
             pending: list[str] = []
-            for t in texts:
-                no, h, g = [], [], []
-                for i, line in enumerate((t or "").split("\n")):
-                    said = normal_words(line)
-                    if len(said) >= words:
-                        whole = xxhash.xxh128_digest(" ".join(said))
-                        no.append(i)
-                        h.append(int.from_bytes(whole[:8], "little", signed=True))
-                        g.append(int.from_bytes(whole[8:], "little", signed=True))
-                        counts.append(len(said))
-                        pending += said
-                rows.append((no, h, g))
-                ends.append(len(counts))
-                if len(pending) > CHUNK:
-                    hashes.append(_hashes(pending))
-                    pending = []
+            for i, line in enumerate(lines):
+                said = normal_words(line)
+                if len(said) >= words:
+                    at.append(i)
+                    whole.append(xxhash.xxh128_digest(" ".join(said)))
+                    counts.append(len(said))
+                    pending += said
+                    if len(pending) > CHUNK:
+                        hashes.append(_hashes(pending))
+                        pending = []
             hashes.append(_hashes(pending))
-            s = simhashes(np.concatenate(hashes), np.array(counts, np.int64)).astype(np.int64).tolist()
-            starts = [0, *ends[:-1]]
-            yield pd.DataFrame(
-                [(no, h, g, s[a:b]) for (no, h, g), a, b in zip(rows, starts, ends, strict=True)], columns=["no", "h", "g", "s"]
-            )
+            out = pd.DataFrame({c: pd.array([None] * len(lines), "Int64") for c in "hgs"})
+            if at:
+                both = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
+                for c, v in (("h", both[:, 0]), ("g", both[:, 1]), ("s", simhashes(np.concatenate(hashes), np.array(counts, np.int64)).astype(np.int64))):
+                    out.loc[at, c] = v
+            yield out
 
     return digests
 
@@ -123,8 +118,9 @@ def _block_key(bits: list[tuple[int, int]], n: int):
 def line_groups(docs: DataFrame, key: str, text: str, words: int, distance: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(lines(id, no, h, g), groups(h, g, first)) - ``first`` is the occurrence that a line's group keeps."""
     base = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    made = cut(base.select("id", line_digests(words)(F.col("text")).alias("d")).where("size(d.no) > 0").select("id", "d.*"))
-    lines = made.select("id", F.inline(F.arrays_zip("no", "h", "g", "s")))
+    # a row for each line, so a worker's batches are as small as its lines, however long the texts
+    each = base.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    lines = cut(each.select("id", "no", line_digests(words)(F.col("line")).alias("d")).where("d.h is not null").select("id", "no", "d.*"))
     classes = cut(
         lines.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("first"), F.min("s").alias("s"), F.count("*").alias("n"))
     )
@@ -137,9 +133,10 @@ def line_groups(docs: DataFrame, key: str, text: str, words: int, distance: int,
         near = cut(pairs.join(one, "a").join(two, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= distance))
         wanted = near.select(F.explode(F.array("fa", "fb")).alias("f")).select("f.id", "f.no").distinct()
         per_doc = wanted.groupBy("id").agg(F.collect_list("no").alias("nos"))  # of one document's lines
-        said = base.join(per_doc, "id").select("id", F.explode("nos").alias("no"), "text").select(
+        parts = F.transform(F.array(F.split("text", "\n")), lambda p: F.transform("nos", lambda i: F.struct(i.alias("no"), F.get(p, i).alias("line"))))
+        said = base.join(per_doc, "id").select("id", F.inline(parts[0])).select(
             F.struct("id", "no").alias("f"),
-            F.regexp_replace(F.regexp_replace(F.lower(F.get(F.split("text", "\n"), F.col("no"))), r"\d", "0"), r"[^\p{L}\p{N}_]+", " ").alias("t"),
+            F.regexp_replace(F.regexp_replace(F.lower("line"), r"\d", "0"), r"[^\p{L}\p{N}_]+", " ").alias("t"),
         )
         both = near.join(said.select(F.col("f").alias("fa"), F.col("t").alias("x")), "fa").join(said.select(F.col("f").alias("fb"), F.col("t").alias("y")), "fb")
         most = f"cast(floor({1 - similarity:.6f} * greatest(length(x), length(y))) as int)"
