@@ -336,7 +336,9 @@ def batch_search(rows: DataFrame, schema: Schema, field_name: str, queries: Data
     idf = 1 + F.log(F.lit(float(total)) / (F.col("df") + 1))
     weighted = postings.join(df, "token").select("token", "id", (F.sqrt("tf") * idf * idf * norm).alias("w"), (idf * idf).alias("sq"))
     scores = words.join(weighted, "token").groupBy("qid", "id").agg(F.sum("w").alias("w"))
-    norms = words.join(df, "token").groupBy("qid").agg((1 / F.sqrt(F.sum(idf * idf))).alias("qn"))
+    # a word that no document holds counts in its query's norm, too
+    known = words.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    norms = known.groupBy("qid").agg((1 / F.sqrt(F.sum(idf * idf))).alias("qn"))
     scored = scores.join(norms, "qid").select("qid", "id", (F.col("w") * F.col("qn")).alias("score"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id"))
     return scored.withColumn("rank", place.cast("bigint")).where(F.col("rank") <= top)
