@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns of a rendered part: turn numbers 0-127, 128-255, ... A dialogue up to that is one row.
 PART_TURNS = 128
-#: A part with more rows than this (very many rows that tie in turn) is cut by a hash.
-PART_ROWS = 4096
 
 
 def _role(t: Column, me: Column, system: tuple[str, ...]) -> Column:
@@ -37,27 +35,19 @@ def render_perspectives(
     speaker is named 'unknown', a null text is empty. Speakers in ``system`` are rendered as system
     and have no perspective; a conversation of only those gives no row. Control marks inside a text
     are broken by a space, so text can't forge a turn. A null conversation id is a conversation.
-    ``cut`` numbers the pieces of a part with more than 4096 rows, 0 otherwise.
+    ``cut`` is always 0: a part is rendered whole, however many of its rows tie in turn, so a part's
+    distinct rows must fit a task.
     """
     said = turns.select(
         F.col(conversation).alias("conv"), F.col(turn).cast("bigint").alias("turn"),
         F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("who"),
         F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|"), F.lit("< |")).alias("what"),
     ).withColumn("part", F.expr(f"turn div {part_turns}"))
-    # parts by turn number need no ranking; the few that ties make large are found by a count
-    large = (
-        said.groupBy("conv", "part").agg(F.count("*").alias("_n")).where(f"_n > {PART_ROWS}")
-        .select(F.col("conv").alias("_conv"), F.col("part").alias("_part"), "_n")
-    )
-    spread = F.expr("coalesce(cast(pmod(xxhash64(turn, who, what), ceil(_n / 1024)) as int), 0)")
-    parts = (
-        said.join(large, F.col("conv").eqNullSafe(F.col("_conv")) & F.col("part").eqNullSafe(F.col("_part")), "left")
-        .groupBy("conv", "part", spread.alias("cut"))
-        .agg(
-            F.sort_array(F.collect_set(F.struct(F.col("turn").isNull().alias("last"), "turn", "who", "what"))).alias("said"),
-            F.count("*").alias("n_rows"),
-        )
-    )
+    # copies of a row are merged before the shuffle already, so a conversation sent very often is small here
+    parts = said.groupBy("conv", "part").agg(
+        F.sort_array(F.collect_set(F.struct(F.col("turn").isNull().alias("last"), "turn", "who", "what"))).alias("said"),
+        F.count("*").alias("n_rows"),
+    ).withColumn("cut", F.lit(0))
     people = (
         said.where(~F.col("who").isin(*system)).groupBy(F.col("conv").alias("_conv"))
         .agg(F.sort_array(F.collect_set("who")).alias("people"))

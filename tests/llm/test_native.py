@@ -116,3 +116,14 @@ def test_parts_of_a_long_conversation(spark):
     df = spark.range(300).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "u").otherwise("v").alias("role"), F.col("id").cast("string").alias("text"))
     got = render_perspectives(df).groupBy("perspective").agg(F.count("*").alias("parts"), F.sum("n_turns").alias("n"), F.sum("n_trained").alias("t")).collect()
     assert {(r["perspective"], r["parts"], r["n"], r["t"]) for r in got} == {("u", 3, 300, 150), ("v", 3, 300, 150)}
+
+
+def test_a_part_of_very_many_rows_is_rendered_whole(spark):
+    often = spark.range(6000).select(F.lit(1).alias("conv_id"), (F.col("id") % 60).alias("turn"), F.when(F.col("id") % 2 == 0, "u").otherwise("v").alias("role"), (F.col("id") % 60).cast("string").alias("text"))
+    ties = spark.range(5000).select(F.lit(2).alias("conv_id"), F.lit(None).cast("bigint").alias("turn"), F.lit("u").alias("role"), F.format_string("%05d", "id").alias("text"))
+    got = {(r["conv_id"], r["perspective"]): r for r in render_perspectives(often.union(ties)).collect()}
+    assert {k: (r["cut"], r["n_turns"], r["n_rows"], r["n_trained"]) for k, r in got.items()} == {(1, "u"): (0, 60, 6000, 30), (1, "v"): (0, 60, 6000, 30), (2, "u"): (0, 5000, 5000, 5000)}
+    assert got[1, "u"]["text"] == "".join(f"<|im_start|>{'user name=v' if k % 2 else 'assistant'}\n{k}<|im_end|>\n" for k in range(60))
+    assert got[2, "u"]["text"] == "".join(f"<|im_start|>assistant\n{k:05d}<|im_end|>\n" for k in range(5000))
+    spans = [tuple(map(int, m.split(":"))) for m in got[2, "u"]["mask"].split(",")]
+    assert [got[2, "u"]["text"][a:b] for a, b in spans] == [f"{k:05d}<|im_end|>" for k in range(5000)]
