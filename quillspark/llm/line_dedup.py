@@ -1,9 +1,11 @@
 """Fuzzy line deduplication.
 
 Lines are normalised and given a 64-bit SimHash of their words. Lines whose SimHashes differ in at
-most ``DISTANCE`` bits agree in some blocks whichever bits differ (pigeonhole), so they meet in a
-join on those blocks; lines that meet and are that near are verified by edit similarity. Of each
-connected group, its first occurrence stays.
+most ``CLOSE`` bits agree in some blocks whichever bits differ (pigeonhole), so they meet in a join
+on those blocks. A few respelt words move more bits than blocks can bear, so lines also meet where a
+band of their words' MinHashes agrees, which is likely but not certain. Lines that meet and differ
+in at most ``DISTANCE`` bits are verified by edit similarity. Of each connected group, its first
+occurrence stays.
 """
 
 from __future__ import annotations
@@ -22,7 +24,12 @@ from .common import connected_groups, cut, documents, link_buckets, ship, whole_
 
 #: Shorter lines are left alone, copies of them too: they say too little to be copies of each other.
 WORDS = 5
-DISTANCE = 3
+#: SimHashes of lines that are 0.9 alike differ in up to 20 bits (README has the measured recall).
+DISTANCE = 20
+#: Lines within so many bits meet for certain.
+CLOSE = 3
+#: MinHash bands, and MinHashes that must all agree in one.
+BANDS, ROWS = 12, 5
 SIMILARITY = 0.9
 #: Words whose bits are counted at once.
 CHUNK = 200_000
@@ -66,10 +73,24 @@ def simhashes(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A key for each line and band, which two lines share if the band's MinHashes of their hashed ``words`` agree."""
+    out = np.zeros((len(counts), BANDS), np.int32)
+    mixers = np.random.default_rng(7).integers(0, 1 << 63, (BANDS, ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+    starts = np.cumsum(counts) - counts
+    for n, band in enumerate(mixers):
+        key = np.zeros(len(counts), np.uint64)
+        for times, plus in band:
+            key = (key ^ np.minimum.reduceat(words * times + plus, starts)) * mixers[0, 0, 0]
+            key ^= key >> np.uint64(32)
+        out[:, n] = key.astype(np.uint32).view(np.int32)
+    return out
+
+
 def line_digests(words: int = WORDS):
-    """A pandas UDF: line -> (h, g: two hashes of its normal words, s: their SimHash); null under ``words`` words."""
+    """A pandas UDF: line -> (h, g: two hashes of its normal words, s: their SimHash, m: their band keys); null under ``words`` words."""
 
-    @F.pandas_udf("h bigint, g bigint, s bigint")
+    @F.pandas_udf("h bigint, g bigint, s bigint, m array<int>")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -87,11 +108,15 @@ def line_digests(words: int = WORDS):
                         hashes.append(_hashes(pending))
                         pending = []
             hashes.append(_hashes(pending))
-            out = pd.DataFrame({c: pd.array([None] * len(lines), "Int64") for c in "hgs"})
+            out = pd.DataFrame({c: pd.array([None] * len(lines), "Int64") for c in "hgs"} | {"m": [None] * len(lines)})
             if at:
                 both = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
-                for c, v in (("h", both[:, 0]), ("g", both[:, 1]), ("s", simhashes(np.concatenate(hashes), np.array(counts, np.int64)).astype(np.int64))):
+                every, each = np.concatenate(hashes), np.array(counts, np.int64)
+                for c, v in (("h", both[:, 0]), ("g", both[:, 1]), ("s", simhashes(every, each).astype(np.int64))):
                     out.loc[at, c] = v
+                bands = np.full(len(lines), None, object)
+                bands[at] = pd.Series(list(band_keys(every, each))).to_numpy()
+                out["m"] = bands
             yield out
 
     return digests
@@ -122,13 +147,14 @@ def line_groups(docs: DataFrame, key: str, text: str, words: int, distance: int,
     each = base.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     lines = cut(each.select("id", "no", line_digests(words)(F.col("line")).alias("d")).where("d.h is not null").select("id", "no", "d.*"))
     classes = cut(
-        lines.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("first"), F.min("s").alias("s"), F.count("*").alias("n"))
+        lines.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("first"), F.min("s").alias("s"), F.first("m").alias("m"), F.count("*").alias("n"))
     )
-    size = classes.count()
-    keys = F.array(*(_block_key(bits, n) for n, bits in enumerate(_scheme(size, distance))))
-    buckets = classes.select(F.explode(keys).alias("b"), F.col("h").alias("id"))
+    size, close = classes.count(), min(distance, CLOSE)
+    keys = F.array(*(_block_key(bits, n) for n, bits in enumerate(_scheme(size, close))))
+    blocks = classes.select(F.explode(keys).alias("b"), F.col("h").alias("id"))
+    bands = classes.select(F.posexplode("m").alias("n", "k"), F.col("h").alias("id")).select(F.xxhash64("n", "k").alias("b"), "id")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, distance: int) -> DataFrame:
         one, two = classes.select(F.col("h").alias("a"), F.col("s").alias("sa"), F.col("first").alias("fa")), classes.select(F.col("h").alias("b"), F.col("s").alias("sb"), F.col("first").alias("fb"))
         near = cut(pairs.join(one, "a").join(two, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= distance))
         wanted = near.select(F.explode(F.array("fa", "fb")).alias("f")).select("f.id", "f.no").distinct()
@@ -142,7 +168,7 @@ def line_groups(docs: DataFrame, key: str, text: str, words: int, distance: int,
         most = f"cast(floor({1 - similarity:.6f} * greatest(length(x), length(y))) as int)"
         return both.where(f"levenshtein(x, y, {most}) >= 0").select("a", "b").distinct()
 
-    links = link_buckets(buckets, verify)
+    links = link_buckets(blocks, lambda pairs: verify(pairs, close)).union(link_buckets(bands, lambda pairs: verify(pairs, distance)))
     roots = connected_groups(links)
     named = classes.join(roots.withColumnRenamed("id", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     firsts = named.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")

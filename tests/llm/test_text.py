@@ -14,7 +14,7 @@ from quillspark.llm import minhash as H
 from quillspark.llm import packing as P
 from quillspark.llm.common import connected_groups, link_buckets
 from quillspark.llm.embed_dedup import near_vectors
-from quillspark.llm.line_dedup import _scheme, dedup_lines, simhashes
+from quillspark.llm.line_dedup import _scheme, dedup_lines, normal_words, simhashes
 from quillspark.llm.toxicity import fit_isotonic, fit_toxicity, fit_trees, score_toxicity
 
 # --- packing ---
@@ -301,6 +301,32 @@ def test_lines_keep_one_occurrence(spark):
     assert got[1]["removed_lines"] == [] and got[3]["text"] == f"short one\n{other}" and got[4]["text"] == "" and got[2]["removed_lines"] == [0]
 
 
+def test_lines_with_respelt_words_are_found_by_the_defaults(spark):
+    rng = random.Random(5)
+    lines = [prose(100 + k, rng.choice((8, 12, 20, 50))).replace("\n", " ") for k in range(60)]
+
+    def respelt(line):
+        said = line.split()
+        for k in rng.sample(range(len(said)), max(1, len(said) // 20)):
+            said[k] = said[k][:-1] + "zq"
+        return " ".join(said)
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            last, row = row, [i]
+            for j, b in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (a != b)))
+        return row[-1]
+
+    copies = [respelt(line) for line in lines]
+    said = [[" ".join(normal_words(t)) for t in two] for two in zip(lines, copies)]
+    alike = {60 + k for k, (x, y) in enumerate(said) if edits(x, y) <= int(0.1 * max(len(x), len(y)))}
+    df = spark.createDataFrame(list(enumerate(lines + copies)), "doc_id long, text string")
+    gone = {r["doc_id"] for r in dedup_lines(df).collect() if r["removed_lines"]}
+    assert len(alike) > 40 and gone == alike
+
+
 def test_odd_lines(odd_documents, no_documents):
     got = dedup_lines(odd_documents)
     assert got.count() == odd_documents.count() and dedup_lines(no_documents).count() == 0
