@@ -2,8 +2,8 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns the next
 stage's documents, the last one the packed pieces. No stage can be expressed in SQL (trained trees,
-SimHash and edit similarity, signatures, a tokenizer), so ``ORACLE_SQL`` is None; the tests hold the
-stages against brute force.
+SimHash and edit similarity, signatures, a tokenizer), so ``ORACLE_SQL`` is None. The tests hold the
+operators of line dedup and near-dedup against brute force, but not ``run`` or its stages.
 """
 
 from __future__ import annotations
