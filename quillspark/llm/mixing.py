@@ -16,6 +16,8 @@ from .common import documents, stratum, whole_rows
 SEED = "poisson-1"
 #: The registered query and the pipeline give every source a share in proportion to rows ** POWER.
 POWER = 0.7
+#: Rates are broadcast up to this size, else joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def hashed_unit(seed: str, *parts: Column) -> Column:
@@ -66,12 +68,19 @@ def mix_sources(
         share = F.create_map(*(F.lit(x) for kv in named for x in kv)) if named else None
         weight = F.coalesce(F.try_element_at(share, F.col("s")), F.lit(0.0)) if named else F.lit(0.0)
     # one row: sums over the sources
-    all_rows, all_weight = sizes.agg(F.sum("n"), F.sum(weight)).first()
+    all_rows, all_weight, sources, longest, most = sizes.agg(
+        F.sum("n"), F.sum(weight), F.count("*"), F.max(F.length("s")), F.max(weight / F.col("n"))
+    ).first()
     wanted = float(target_rows if target_rows is not None else all_rows or 0)
+    # of a rate's row: its name and some 30 steps of the distribution, more of them where sources are repeated often
+    top_rate = wanted * (most or 0.0) / (all_weight or 1.0)
+    row_bytes = 200 + 4 * (longest or 0) + 8 * (top_rate + 12 * top_rate**0.5 + 30)
     rates = sizes.select(
         "s", (F.lit(wanted) * weight / F.lit(all_weight or 1.0) / F.col("n")).alias("rate")
     ).withColumn("steps", poisson_steps(F.col("rate")))
-    drawn = base.withColumn("u", hashed_unit(seed, F.col("key"))).join(rates, "s")
+    # a row for each source: known few are broadcast, so whole texts move only once, in the shuffle at the end
+    few = F.broadcast(rates) if sources * row_bytes <= BROADCAST_BYTES else rates
+    drawn = base.withColumn("u", hashed_unit(seed, F.col("key"))).join(few, "s")
     counted = drawn.withColumn("copies", F.size(F.filter("steps", lambda x: x <= F.col("u")))).where("copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     order = F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.coalesce(F.col("key").cast("string"), F.lit("-")), "copy"))
