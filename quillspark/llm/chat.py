@@ -19,7 +19,7 @@ def _role(t: Column, me: Column, system: tuple[str, ...]) -> Column:
     return (
         F.when(t["who"] == me, F.lit("assistant"))
         .when(t["who"].isin(*system), F.lit("system"))
-        .otherwise(F.concat(F.lit("user name="), t["who"]))
+        .otherwise(F.concat(F.lit("user name="), F.translate(F.replace(t["who"], F.lit("<|"), F.lit("< |")), "\r\n", "  ")))
     )
 
 
@@ -34,7 +34,8 @@ def render_perspectives(
     own (null). Identical rows are one turn sent again: rendered once, counted in ``n_rows``. A null
     speaker is named 'unknown', a null text is empty. Speakers in ``system`` are rendered as system
     and have no perspective; a conversation of only those gives no row. Control marks inside a text
-    are broken by a space, so text can't forge a turn. A null conversation id is a conversation.
+    are broken by a space, in a speaker's name too, and a name's line ends become spaces, so neither can
+    forge a turn. An empty table gives an empty result. A null conversation id is a conversation.
     ``cut`` is always 0: a part is rendered whole, however many of its rows tie in turn, so a part's
     distinct rows must fit a task.
     """
@@ -48,13 +49,9 @@ def render_perspectives(
         F.sort_array(F.collect_set(F.struct(F.col("turn").isNull().alias("last"), "turn", "who", "what"))).alias("said"),
         F.count("*").alias("n_rows"),
     ).withColumn("cut", F.lit(0))
-    people = (
-        said.where(~F.col("who").isin(*system)).groupBy(F.col("conv").alias("_conv"))
-        .agg(F.sort_array(F.collect_set("who")).alias("people"))
-    )
-    each = parts.join(people, F.col("conv").eqNullSafe(F.col("_conv"))).select(
-        "conv", "part", "cut", "n_rows", "said", F.explode("people").alias("me")
-    )
+    # a row for each speaker, so that no conversation's speakers are gathered in one
+    people = said.where(~F.col("who").isin(*system)).select(F.col("conv").alias("_conv"), F.col("who").alias("me")).distinct()
+    each = parts.join(people, F.col("conv").eqNullSafe(F.col("_conv"))).select("conv", "part", "cut", "n_rows", "said", "me")
     me = F.col("me")
     heads = F.transform("said", lambda t: F.concat(F.lit(START), _role(t, me, system), F.lit("\n")))
     bodies = F.transform("said", lambda t: F.concat(t["what"], F.lit(END)))
@@ -89,7 +86,7 @@ WITH said AS (
 people AS (SELECT DISTINCT conv_id, who AS me FROM said WHERE who <> 'system'),
 lines AS (
   SELECT s.conv_id, me, turn // 128 AS part, turn, who, what, n,
-         '<|im_start|>' || CASE WHEN who = me THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || who END || chr(10) AS head,
+         '<|im_start|>' || CASE WHEN who = me THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || translate(replace(who, '<|', '< |'), chr(13) || chr(10), '  ') END || chr(10) AS head,
          what || '<|im_end|>' AS body
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
