@@ -10,6 +10,7 @@ intervals of ranks within a length to intervals of sequences; pieces find theirs
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ from .common import cut, documents, ship, whole_rows, worker_cache
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json
+#: That vocabulary's one special token; its id follows the last rank.
+SPECIAL = "<|endoftext|>"
 #: (largest share of the capacity that counts as small, groups); the best plan is taken.
 SCHEMES = ((1 / 8, 24), (1 / 4, 40), (1 / 2, 24))
 #: A cell of pieces of one length that is ranked in one task holds about so many.
@@ -37,15 +40,17 @@ BROADCAST_PLAN = 200_000
 def _encoder(path: str | None):
     """A function from a text to its ids as little-endian unsigned 32-bit bytes, without the end id.
 
-    Ids are those of the byte-level vocabulary, whose rank file is read; special tokens' strings are
-    ordinary text. The vocabulary's split pattern looks ahead only for runs of white space; texts
+    Ids are those of the tokenizers library for the same vocabulary, whose rank file is read by
+    tiktoken: the string of the special token in a text is that token, what stands around it is
+    encoded apart. The vocabulary's split pattern looks ahead only for runs of white space; texts
     without such runs, nearly all, are split alike by the pattern without it, in far less time.
     """
-    cache = worker_cache()
+    cache = worker_cache("packing")
     if (key := ("encoder", path)) in cache:
         return cache[key]
     import base64
     import re
+    from array import array
 
     import public_tokenizers
     import tiktoken
@@ -54,14 +59,22 @@ def _encoder(path: str | None):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     ahead = r"\s+(?!\S)|"
     whole, plain = (
-        tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={})
+        tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for p in (public_tokenizers.PATTERN, public_tokenizers.PATTERN.replace(ahead, ""))
     )
-    run = re.compile(r"\s\s")
+    run, special = re.compile(r"\s\s"), len(ranks)
+    code = next(c for c in "IL" if array(c).itemsize == 4)
 
     def encode(text: str) -> bytes:
-        used = whole if run.search(text) else plain
-        return np.asarray(used.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+        ids: list[int] = []
+        for k, part in enumerate(text.split(SPECIAL)):
+            if k:
+                ids.append(special)
+            ids += (whole if run.search(part) else plain)(part)
+        made = array(code, ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
 
     cache[key] = encode
     return encode
@@ -75,6 +88,7 @@ def token_pieces(
 
     A text's ids and then ``end_id``; null counts as empty, so every row has a piece. Longer ones are
     cut into full pieces, the first one holding the rest. ``ids``: the bytes that the CRC covers.
+    Repeated rows and null keys have pieces of their own; an empty table has none.
     """
 
     @F.pandas_udf("n bigint, crcs array<bigint>, ids array<binary>")
@@ -83,14 +97,17 @@ def token_pieces(
 
         encode, end = _encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
         for texts in batches:
-            out = []
-            for t in texts:
-                ids = encode(t or "") + end
+            made: dict[str, tuple] = {}  # equal texts of a batch are encoded once
+            for t in map(lambda t: t or "", texts):
+                if t in made:
+                    continue
+                ids = encode(t) + end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 cuts = [0, *range(first, n + 1, capacity)]
                 pieces = [ids[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
-                out.append((n, [crc32(p) for p in pieces], pieces if with_ids else None))
+                made[t] = n, [crc32(p) for p in pieces], pieces if with_ids else None
+            out = [made[t or ""] for t in texts]
             yield pd.DataFrame(out, columns=["n", "crcs", "ids"])
 
     first = F.expr(f"(_e.n - 1) % {capacity} + 1")
