@@ -9,7 +9,6 @@ features (a few dozen numbers) of a bounded sample of labelled rows; scoring cov
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,10 @@ LEXICON_ENTRIES = 4_000
 LEXICON_G2 = 25.0
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
-KEPT_WORDS = 300_000
+#: Words that a worker keeps numbers of, and entries that a task counts before it hands them on.
+KEPT_WORDS, HELD_ENTRIES = 200_000, 200_000
+#: Folds of calibration; a row's features come from the lexicon of the other folds.
+FOLDS = 4
 YOU = frozenset(
     "you your yours yourself u ur thou tu te toi ton ta tes vous votre vos du dich dir dein deine deiner ihr euch euer "
     "usted ustedes tú ti tus su sus vosotros vosotras".split()
@@ -127,46 +129,63 @@ def _text_features(text: str | None, words: _Words) -> list[float]:
 
 
 def learn_lexicon(labelled: DataFrame, text: str = "text", label: str = "label") -> dict[str, float]:
-    """Words and beginnings with their log odds, from ``labelled``: at most ``LEXICON_ENTRIES``.
+    """Words and beginnings with their log odds, from ``labelled``: at most ``LEXICON_ENTRIES``."""
+    return learn_lexicons(labelled.select(text, label, F.lit(0).alias("fold")), text, label, "fold", 0)[0]
 
-    A text counts an entry once. Counts are combined per task, then by entry.
+
+def learn_lexicons(labelled: DataFrame, text: str, label: str, fold: str, folds: int) -> list[dict[str, float]]:
+    """The lexicon of all of ``labelled``, then for each fold (0..) the one of the rows outside it.
+
+    A text counts an entry once; a null text has none. Counts are combined per task, then by entry;
+    a task without rows gives none. A lexicon is empty where one of the classes is missing.
     """
+    parts = max(folds, 1)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(c: dict) -> pd.DataFrame:
-            return pd.DataFrame({"entry": list(c[1] | c[0]), "toxic": [c[1][w] for w in c[1] | c[0]], "clean": [c[0][w] for w in c[1] | c[0]]})
-
-        c = {0: Counter(), 1: Counter()}
-        for b in batches:
-            for t, y in zip(b["t"], b["y"], strict=True):
-                c[int(y)].update({v for w in set((t or "").split()) if (k := _core(w)) for v in _variants(k)})
-                if len(c[0]) + len(c[1]) > 1_000_000:
-                    yield out(c)
-                    c = {0: Counter(), 1: Counter()}
-        yield out(c)
-
-    rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    sums = labelled.agg(F.sum(F.col(label).cast("bigint")), F.count("*")).first()
-    toxic, clean = float(sums[0] or 0), float((sums[1] or 0) - (sums[0] or 0))
-    if not toxic or not clean:
-        return {}
-    counts = (
-        rows.mapInPandas(counted, "entry string, toxic bigint, clean bigint")
-        .groupBy("entry").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-        .where("a >= 3")
-    )
-    rate = toxic / (toxic + clean)
-    both = F.col("a") + F.col("b")
-    g2 = 2 * (
-        F.col("a") * F.log(F.col("a") / (both * rate))
-        + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (both * (1 - rate)))).otherwise(0.0)
-    )
-    odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
-    best = (
-        counts.withColumns({"g2": g2, "odds": odds}).where((F.col("g2") > LEXICON_G2) & (F.col("odds") > 1.5))
-        .orderBy(F.desc("g2"), "entry").limit(LEXICON_ENTRIES)
+        found: dict[str, list[int]] = {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"entry": list(found), "n": list(found.values())})
+
+        for batch in batches:
+            for t, at in zip(batch["t"], batch["at"], strict=True):
+                for v in {v for w in set((t or "").split()) if (k := _core(w)) for v in _variants(k)}:
+                    if v not in found:
+                        found[v] = [0] * (2 * parts)
+                    found[v][at] += 1
+                if len(found) > HELD_ENTRIES:
+                    yield out()
+                    found = {}
+        if found:
+            yield out()
+
+    # of a fold k, clean rows are counted at 2k and toxic ones at 2k + 1
+    at = (2 * F.col(fold) + F.col(label)).cast("int")
+    rows = labelled.select(F.col(text).alias("t"), at.alias("at"))
+    size = {r["at"]: r["count"] for r in rows.groupBy("at").count().collect()}  # two rows a fold
+    counts = cut(
+        rows.mapInPandas(counted, "entry string, n array<int>")
+        .groupBy("entry").agg(F.array(*(F.sum(F.col("n")[k]) for k in range(2 * parts))).alias("n"))
     )
-    return {r["entry"]: float(r["odds"]) for r in best.collect()}
+
+    def best(without: int | None) -> dict[str, float]:
+        own = [k for k in range(parts) if k != without]
+        clean, toxic = (float(sum(size.get(2 * k + y, 0) for k in own)) for y in (0, 1))
+        if not toxic or not clean:
+            return {}
+        rate = toxic / (toxic + clean)
+        b, a = (sum((F.col("n")[2 * k + y] for k in own), F.lit(0)) for y in (0, 1))
+        named = counts.select("entry", a.alias("a"), b.alias("b")).where("a >= 3")
+        a, b, both = F.col("a"), F.col("b"), F.col("a") + F.col("b")
+        g2 = 2 * (a * F.log(a / (both * rate)) + F.when(b > 0, b * F.log(b / (both * (1 - rate)))).otherwise(0.0))
+        odds = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))
+        top = (
+            named.withColumns({"g2": g2, "odds": odds}).where((F.col("g2") > LEXICON_G2) & (F.col("odds") > 1.5))
+            .orderBy(F.desc("g2"), "entry").limit(LEXICON_ENTRIES)
+        )
+        return {r["entry"]: float(r["odds"]) for r in top.collect()}
+
+    return [best(None), *(best(k) for k in range(folds))]
 
 
 # --- trees ----------------------------------------------------------------------------------
@@ -264,29 +283,32 @@ class ToxicityModel:
         return np.clip(0.98 * np.interp(raw, *self.knots) + 0.02 / (1 + np.exp(-raw)), 0, 1)
 
 
-def _features(lexicon: dict[str, float]):
+def _features(lexicons: list[dict[str, float]]):
+    """(text, fold) -> features by the fold's lexicon."""
+
     @F.pandas_udf("array<double>")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = _words(lexicon)
-        for texts in batches:
-            yield pd.Series([_text_features(t, words) for t in texts])
+    def features(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        words = [_Words(lexicon) for lexicon in lexicons]
+        for texts, folds in batches:
+            yield pd.Series([_text_features(t, words[k]) for t, k in zip(texts, folds, strict=True)], dtype=object)
 
     return features
 
 
 def _words(lexicon: dict[str, float]) -> _Words:
-    cache = worker_cache()
+    cache = worker_cache("toxicity")
     key = hash(frozenset(lexicon.items()))
-    if cache.get("toxicity", (None,))[0] != key:
-        cache["toxicity"] = key, _Words(lexicon)
-    return cache["toxicity"][1]
+    if cache.get("of") != key:
+        cache.update(of=key, words=_Words(lexicon))
+    return cache["words"]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on the rows of ``labels`` (at most about ``rows``, chosen by a hash of the key).
 
     Null keys and labels are left out; a key with several labels counts as its largest. Without
-    texts of both classes the model gives the labels' mean (0 without any) as every score.
+    texts of both classes the model gives the labels' mean (0 without any) as every score. Null and
+    empty texts have features of 0; repeated rows of a labelled key count each.
     """
     named = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     size = named.count()
@@ -294,18 +316,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     chosen = named if size <= rows else named.where(share < rows / size)
     # at most ``rows`` ids, so the texts are found without moving the others
     texts = cut(docs.select(key, text).join(F.broadcast(chosen), key).select(F.xxhash64(key).alias("h"), text, "label"))
-    lexicon = learn_lexicon(texts, text)
-    found = texts.select("h", "label", _features(lexicon)(F.col(text)).alias("x")).toPandas().sort_values(["h"], kind="stable")
+    texts = texts.withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int"))
+    lexicon, *others = learn_lexicons(texts, text, "label", "fold", FOLDS)
+    found = texts.select("h", "label", "fold", _features(others)(F.col(text), F.col("fold")).alias("x")).toPandas().sort_values(["h"], kind="stable")
     y = found["label"].to_numpy(float)
     prior = float(y.mean()) if len(y) else 0.0
     if len(y) < 10 or y.min() == y.max():
         return ToxicityModel(lexicon, None, (np.zeros(1), np.zeros(1)), prior)
-    x = np.stack(found["x"].to_numpy())
-    # calibrate on scores of rows that the trees of that fold haven't seen
-    fold, held = np.arange(len(y)) % 4, np.zeros(len(y))
-    for k in range(4):
+    # no row's features know its label, and calibration is by scores of rows that the trees of that fold haven't seen
+    x, fold, held = np.stack(found["x"].to_numpy()), found["fold"].to_numpy(), np.zeros(len(y))
+    for k in range(FOLDS):
         own = fold == k
-        held[own] = fit_trees(x[~own], y[~own]).raw(x[own])
+        if own.any() and not own.all():
+            held[own] = fit_trees(x[~own], y[~own]).raw(x[own])
     return ToxicityModel(lexicon, fit_trees(x, y), fit_isotonic(held, y), prior)
 
 
@@ -317,7 +340,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
         words = _words(model.lexicon)
         for texts in batches:
             x = np.array([_text_features(t, words) for t in texts]).reshape(len(texts), len(FEATURES))
-            yield pd.Series(model.scores(x))
+            yield pd.Series(model.scores(x), dtype=float)
 
     return docs.withColumn(score, scored(F.col(text)))
 
