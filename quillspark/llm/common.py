@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of a narrow table that may be broadcast, once it is written and counted.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a cut with a few longs a row, to be broadcast in a join if its count allows it; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -134,65 +144,53 @@ def _star_rounds(edges: DataFrame) -> DataFrame:
         release(star.sparkSession)
 
 
-RENAMED = {"id": "leader", "root": "other", "size": "size2", "common": "common2"}
-
-
-def _that_may_link(left: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
-    known = left.join(facts, "id")
-    least = known.groupBy("b").agg(F.min("size").alias("least"))
-    may = known.join(least, "b").where(f"common >= {similarity} * (size + greatest(least, common) - common)").drop("least")
-    open_ = may.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
-    return cut(may.join(open_, "b"))
+#: Some rows, others, and a matrix of which pairs of them to compare -> the pairs of ids that link.
+Compare = Callable[[pa.Table, pa.Table, np.ndarray], list[tuple[int, int]]]
+#: Members of a bucket that are compared with one another in one task, and as many that ask them.
+BLOCK_MEMBERS = 256
 
 
 def link_buckets(
-    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3,
-    facts: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0,
+    buckets: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], compare: Compare,
+    said: Callable[[DataFrame], DataFrame], rounds: int = 3, block: int = BLOCK_MEMBERS,
 ) -> DataFrame:
     """Verified links among members of the same buckets, enough of them to connect all that link.
 
-    ``buckets(b, id)``: distinct pairs of longs. ``verify`` takes ``(a, b)`` with a < b and returns
-    those that link. No bucket's pairs are spelt out: in each round a bucket's leader - the member
-    that meets the most others over all buckets, so the likely original of its copies - is compared
-    with the members that aren't connected to it yet, in one row each. In the first round a member
-    meets only the foremost of its buckets' leaders, which connects most copies. After the rounds, pairs of
-    members that are still in different groups are compared, which leaves no pair of a bucket
-    untried unless its two are connected already.
-
-    ``facts``, for overlap similarities: ids -> ``(id, size, common)``, where ``common`` counts what
-    an item has in common with any other of the ids at most. Pairs whose overlap can't reach
-    ``similarity`` by these numbers are left out of the last step: first, by a bucket's smallest
-    size, items that can't link with any there, then single pairs.
+    ``buckets(b, id)``: pairs of longs. ``said``: ids(id) -> ``(id, ...)``, what it takes to compare
+    them. ``verify`` takes pairs ``(a, b)`` with a < b and that table, and returns the pairs that
+    link; so does ``compare`` in a task.
+
+    In each round a bucket's leader - the member that meets the most others over all buckets, so the
+    likely original of its copies - is compared with the members that aren't connected to it yet, in
+    one row each. In the first round a member meets only the foremost of its buckets' leaders, which
+    connects most copies. What is still apart after the rounds is compared block by block: of each
+    bucket, the members outside its largest group ask all members, ``block`` of either in a task; a
+    pair is compared in the first bucket that both have, and only links leave the task. So no list of a bucket's pairs is made, and no pair of a bucket
+    stays untried unless its two are connected already.
     """
     spark = buckets.sparkSession
-    counts = buckets.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(buckets.join(counts, "b").select("b", "id", "n"))
+    least = cut(buckets.groupBy("b").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("b", "n"))
+    release(spark)
+    shared = cut(buckets.join(least, "b").select("b", "id", "n"))
+    release(spark)
+    items = cut(said(shared.select("id").distinct()))
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     left = cut(shared.join(degree, "id").select("b", "id", "degree", F.col("id").alias("root")))
+    release(spark)
     links = spark.createDataFrame([], "a bigint, b bigint")
     pair = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
-    for k in range(rounds + 1):
+    for k in range(rounds):
         if left.isEmpty():
-            break
-        if k < rounds:
-            lead = F.max(F.struct("degree", (-F.col("id")).alias("id"), "root")).alias("top")
-            met = cut(left.join(left.groupBy("b").agg(lead), "b").select("b", "id", "degree", "root", (-F.col("top.id")).alias("leader"), F.col("top.degree").alias("rank"), F.col("top.root").alias("top_root")))
-            new = met.where("root <> top_root")
-            if k:
-                new = new.select(*pair).distinct()
-            else:
-                best = F.max_by("leader", F.struct("rank", -F.col("leader"))).alias("leader")
-                new = new.groupBy("id").agg(best).select(*pair)
+            return links
+        lead = F.max(F.struct("degree", (-F.col("id")).alias("id"), "root")).alias("top")
+        met = cut(left.join(left.groupBy("b").agg(lead), "b").select("b", "id", "degree", "root", (-F.col("top.id")).alias("leader"), F.col("top.degree").alias("rank"), F.col("top.root").alias("top_root")))
+        new = met.where("root <> top_root")
+        if k:
+            new = new.select(*pair).distinct()
         else:
-            may = F.expr("id < leader and root <> other")
-            if facts is not None:
-                left = _that_may_link(left, facts(left.select("id").distinct()), similarity)
-                may &= F.expr(f"least(common, common2) >= {similarity} * (size + size2 - least(common, common2))")
-            one, two = left.drop("degree"), left.drop("degree").toDF(*(RENAMED.get(c, c) for c in left.columns if c != "degree"))
-            new = one.join(two, "b").where(may).select(*pair).distinct()
-        links = links.union(cut(verify(new)))
-        if k == rounds:
-            break
+            best = F.max_by("leader", F.struct("rank", -F.col("leader"))).alias("leader")
+            new = new.groupBy("id").agg(best).select(*pair)
+        links = links.union(cut(verify(new, items)))
         # a leader that has met all its bucket stays only as long as others there may meet its group
         group = connected_groups(links).select("id", F.col("root").alias("g"))
         rooted = met.join(group, "id", "left").select(
@@ -201,14 +199,75 @@ def link_buckets(
         open_ = rooted.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
         left = cut(rooted.join(open_, "b"))
         release(spark)
-    return links
-
-
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker: shipped modules are rebuilt for every task."""
+    return links if left.isEmpty() else links.union(cut(_linked_in_blocks(left, items, compare, block)))
+
+
+def _linked_in_blocks(left: DataFrame, items: DataFrame, compare: Compare, block: int) -> DataFrame:
+    """Links between members of different roots in the buckets ``left(b, id, root)``."""
+    roots = left.groupBy("b", "root").agg(F.count("*").alias("k"))
+    sizes = roots.groupBy("b").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("top")).select(
+        "b", F.col("top.root").alias("main"), F.ceil(F.col("n") / block).alias("blocks"), F.ceil((F.col("n") - F.col("top.k")) / block).alias("parts")
+    )
+    own = left.groupBy("id").agg(F.sort_array(F.collect_set("b")).alias("own"))  # the bands of one member
+    each = left.join(sizes, "b").join(items.join(own, "id"), "id")
+    each = each.withColumn("asking", F.col("root") != F.col("main")).drop("main", "degree")
+    deal = F.pmod(F.xxhash64("id", F.lit(23)), F.col("blocks")), F.pmod(F.xxhash64("id", F.lit(29)), F.col("parts"))
+    # a member's own block in all parts and, if it asks, its own part in all blocks
+    places = F.array_union(
+        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(deal[0].alias("block"), p.cast("bigint").alias("part"))),
+        F.when(F.col("asking"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.cast("bigint").alias("block"), deal[1].alias("part")))).otherwise(F.expr("cast(array() as array<struct<block:bigint,part:bigint>>)")),
+    )
+    placed = each.withColumns({"own_block": deal[0], "own_part": deal[1]}).withColumn("place", F.explode(places)).select("*", "place.*").drop("place", "blocks", "parts")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            keys = [table.column(c).to_numpy() for c in ("b", "block", "part")]
+            ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            whole = int(ends[-1]) if len(ends) else 0
+            held = table.slice(whole)  # its group may go on in the next batch
+            if whole:
+                yield linked(table.slice(0, whole), [0, *ends.tolist()])
+        if held is not None and held.num_rows:
+            yield linked(held, [0, held.num_rows])
+
+    def linked(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+        table, seen = table.combine_chunks(), set()
+        b, block, part, asking, own_block, own_part, root = (table.column(c).to_numpy() for c in ("b", "block", "part", "asking", "own_block", "own_part", "root"))
+        own = table.column("own").to_pylist()
+        for start, end in zip(bounds, bounds[1:]):
+            asks = start + np.flatnonzero(asking[start:end] & (own_part[start:end] == part[start]))
+            asked = start + np.flatnonzero(own_block[start:end] == block[start])
+            may = root[asks][:, None] != root[asked]
+            for n, i in enumerate(asks.tolist()):
+                mine = set(own[i])
+                for k in np.flatnonzero(may[n]).tolist():
+                    # the first bucket that both have
+                    may[n, k] = next(x for x in own[asked[k]] if x in mine) == b[start]
+            if may.any():
+                rows = table.slice(start, end - start)
+                seen.update((min(x), max(x)) for x in compare(rows.take(asks - start), rows.take(asked - start), may))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    dealt = placed.repartition("b", "block", "part").sortWithinPartitions("b", "block", "part")
+    return dealt.mapInArrow(found, "a bigint, b bigint").distinct()
+
+
+def worker_cache(owner: str) -> dict:
+    """A dict that outlives tasks in the Python worker (shipped modules are rebuilt for every task).
+
+    Only the operator that ran last has one: what another left there is dropped, so a worker that
+    serves one stage after another never holds the tables of two.
+    """
     import types
 
-    return sys.modules.setdefault("_worker_cache_of_shipped_code", types.ModuleType("cache")).__dict__
+    held = sys.modules.setdefault("_worker_cache_of_shipped_code", types.ModuleType("cache")).__dict__
+    if held.get("owner") != owner:
+        held["cache"] = {}
+        held["owner"] = owner
+    return held["cache"]
 
 
 ship(__name__)

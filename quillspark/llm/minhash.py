@@ -12,14 +12,15 @@ that share a band are verified by their exact multiset overlap.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_groups, cut, documents, link_buckets, ship, whole_rows, worker_cache
+from .common import Compare, connected_groups, cut, documents, link_buckets, ship, whole_rows, worker_cache
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -44,7 +45,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     one run, a text without words has none."""
     import xxhash
 
-    kept = worker_cache().setdefault("word hashes", {})
+    kept = worker_cache("words").setdefault("hashes", {})
     said = WORD.findall((text or "").lower())
     if not said:
         return np.zeros(0, np.uint64)
@@ -185,54 +186,29 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similarity:
     return both.mapInPandas(check, "a bigint, b bigint").distinct()
 
 
-def overlap_facts(texts: DataFrame, words: int = WORDS) -> Callable[[DataFrame], DataFrame]:
-    """ids -> (id, size, common): a text's shingles, and those that some other of the texts has too.
+def comparing(words: int = WORDS, similarity: float = SIMILARITY) -> Compare:
+    """Of tables (id, text), the pairs asked for that overlap enough."""
 
-    Tasks combine what their texts share before the shuffle: a row for each different shingle.
-    """
+    def compare(asking: pa.Table, asked: pa.Table, may: np.ndarray) -> list[tuple[int, int]]:
+        found, ids = [], asked.column("id").to_numpy()
+        doc, key, count = _bags(asked.column("text").to_pylist(), words)
+        size = np.bincount(doc, count, len(ids))
+        order = np.argsort(key, kind="stable")
+        doc, key, count = doc[order], key[order], count[order]
+        for n, (i, t) in enumerate(zip(asking.column("id").to_pylist(), asking.column("text").to_pylist(), strict=True)):
+            if not may[n].any():
+                continue
+            mine, times = np.unique(shingles(t, words), return_counts=True)
+            # the places of each of its shingles among theirs
+            a, b = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
+            many = b - a
+            at = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            shared = np.bincount(doc[at], np.minimum(count[at], np.repeat(times, many)), len(ids))
+            near = may[n] & (shared > 0) & (shared >= similarity * (size + times.sum() - shared))
+            found += [(i, int(j)) for j in ids[near]]
+        return found
 
-    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[int, list] = {}
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame([(k, *v) for k, v in found.items()], columns=["s", "lo", "hi", "n"])
-
-        for b in batches:
-            for i, t in zip(b["id"], b["text"], strict=True):
-                for k, n in zip(*(a.tolist() for a in np.unique(shingles(t, words).view(np.int64), return_counts=True)), strict=True):
-                    if k in found:
-                        v = found[k]
-                        v[0], v[1], v[2] = min(v[0], i), max(v[1], i), v[2] + n
-                    else:
-                        found[k] = [i, i, n]
-                if len(found) > CHUNK:
-                    yield out()
-                    found.clear()
-        yield out()
-
-    def facts(ids: DataFrame) -> DataFrame:
-        own = cut(texts.join(ids, "id", "left_semi"))
-        once = own.mapInPandas(seen, "s bigint, lo bigint, hi bigint, n bigint").groupBy("s").agg(
-            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")
-        )
-        alone = once.where("lo = hi").groupBy(F.col("lo").alias("id")).agg(F.sum("n").alias("alone"))
-        counted = own.select("id", shingle_count(words)("text").alias("size"))
-        sizes = counted.groupBy("id").agg(F.max("size").alias("size"), F.count("*").alias("rows"))
-        # an id with several texts may have all of any of them in common with another
-        return sizes.join(alone, "id", "left").select(
-            "id", "size", F.when(F.col("rows") > 1, F.col("size")).otherwise(F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")
-        )
-
-    return facts
-
-
-def shingle_count(words: int):
-    @F.pandas_udf("bigint")
-    def count(texts: pd.Series) -> pd.Series:
-        n = texts.map(lambda t: len(WORD.findall((t or "").lower())))
-        return n.map(lambda k: max(k - words + 1, 1) if k else 0)
-
-    return count
+    return compare
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -252,10 +228,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         .select("bag", F.col("m.id").alias("rep"), F.col("m.bands").alias("bands"), "n_copies")
     )
     buckets = classes.select(F.explode("bands").alias("b"), F.col("rep").alias("id")).distinct()
-    counted = buckets.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
-    wanted = buckets.join(counted, "b", "left_semi").select("id").distinct()
-    texts = cut(base.join(wanted, "id", "left_semi"))
-    links = link_buckets(buckets, lambda pairs: verified(pairs, texts, words, similarity), facts=overlap_facts(texts, words), similarity=similarity)
+    links = link_buckets(buckets, lambda pairs, texts: verified(pairs, texts, words, similarity), comparing(words, similarity), lambda ids: base.join(ids, "id", "left_semi"))
     # an id in two classes (repeated with another text) ties them
     ties = named.join(classes.select("bag", "rep"), "bag").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     shared = ties.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
