@@ -1,195 +1,354 @@
 """Fuzzy line deduplication.
 
-Lines are normalised and given a 64-bit SimHash of their words. Lines whose SimHashes differ in at
-most ``CLOSE`` bits agree in some blocks whichever bits differ (pigeonhole), so they meet in a join
-on those blocks. A few respelt words move more bits than blocks can bear, so lines also meet where a
-band of their words' MinHashes agrees, which is likely but not certain. Lines that meet and differ
-in at most ``DISTANCE`` bits are verified by edit similarity. Of each connected group, its first
-occurrence stays.
+Lines are normalised and given SimHashes by block: a line's words fall into ``PARTS`` parts by their
+hash, and each part is a block with a SimHash of its own. By the pigeonhole principle a respelt,
+added or lost word, which falls into two parts at most, leaves the other blocks as they were, so two
+lines that differ in a few words agree on some blocks whichever words differ. Long lines meet in a
+join on single blocks, short ones on pairs of coarser blocks. Lines that meet and whose SimHashes
+over all words differ in at most ``DISTANCE`` bits are verified by edit similarity. Of each connected
+group, its first occurrence stays.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_groups, cut, documents, link_buckets, ship, whole_rows, worker_cache
+from .common import connected_groups, cut, documents, link_buckets, release, ship, small, whole_rows
 
-#: Shorter lines are left alone, copies of them too: they say too little to be copies of each other.
-WORDS = 5
-#: SimHashes of lines that are 0.9 alike differ in up to 20 bits (README has the measured recall).
-DISTANCE = 20
-#: Lines within so many bits meet for certain.
-CLOSE = 3
-#: MinHash bands, and MinHashes that must all agree in one.
-BANDS, ROWS = 12, 5
 SIMILARITY = 0.9
-#: Words whose bits are counted at once.
-CHUNK = 200_000
-KEPT_WORDS = 300_000
-WORD = re.compile(r"\w+")
-DIGITS = re.compile(r"\d")
-
-
-def normal_words(line: str) -> list[str]:
-    """Words in lower case, every digit a 0; punctuation and spacing don't count."""
-    return WORD.findall(DIGITS.sub("0", line.lower()))
-
-
-def _hashes(words: list[str]) -> np.ndarray:
-    import xxhash
-
-    kept = worker_cache().setdefault("line word hashes", {})
-    try:
-        return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-        for w in words:
-            if w not in kept:
-                kept[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
-
-
-def simhashes(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """SimHashes of lines that have ``counts`` (positive) of the hashed ``words`` each."""
-    out = np.zeros(len(counts), np.uint64)
-    ends = np.cumsum(counts)
-    at = 0
-    while at < len(counts):
-        base = ends[at] - counts[at]
-        to = max(at + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
-        bits = np.unpackbits(words[base : ends[to - 1]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, ends[at:to] - counts[at:to] - base, axis=0, dtype=np.int32)
-        out[at:to] = np.packbits(2 * ones > counts[at:to, None], axis=1).view(">u8")[:, 0]
-        at = to
-    return out
-
+#: Bits in which SimHashes over all words may differ; lines that are 0.9 alike hardly ever differ in more.
+DISTANCE = 24
+#: Parts of a long line's words; a short line has half as many and meets on pairs of them.
+PARTS = 8
+#: Lines of so many words at least meet on single blocks, and up to so many on pairs; between them both.
+LONG, SHORT = 20, 44
+#: Words and letters that blocks need to be met on: fewer tell nothing ("of the").
+LONG_WORDS, LONG_LETTERS, SHORT_WORDS, SHORT_LETTERS = 3, 15, 2, 8
+#: In lines of up to so many words, blocks of so many letters will do.
+TINY, TINY_LETTERS = 9, 4
+#: Bytes of lines that are hashed at once.
+CHUNK = 1 << 19
+
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0xD6E8FEB86659FD93)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BYTE_VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
+#: A byte's bits as the lowest bits of eight 8-bit counters.
+LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64)
+#: Bytes of words: digits, small letters and whatever isn't ASCII; digits count as 0.
+WORDS = np.array([48 <= b < 58 or 97 <= b < 123 or b >= 128 for b in range(256)])
+NORMAL = np.array([48 if 48 <= b < 58 else b for b in range(256)], np.uint8)
+
+
+def _mix(z: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Lines:
+    """The words of an array of lines: small letters, digits as 0, no spacing or punctuation.
+
+    Punctuation is what ASCII has and, of the rest, the Latin-1 signs, U+2000 to U+207F (dashes,
+    quotation marks, spaces) and U+3000 to U+303F.
+    """
 
-def band_keys(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A key for each line and band, which two lines share if the band's MinHashes of their hashed ``words`` agree."""
-    out = np.zeros((len(counts), BANDS), np.int32)
-    mixers = np.random.default_rng(7).integers(0, 1 << 63, (BANDS, ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
-    starts = np.cumsum(counts) - counts
-    for n, band in enumerate(mixers):
-        key = np.zeros(len(counts), np.uint64)
-        for times, plus in band:
-            key = (key ^ np.minimum.reduceat(words * times + plus, starts)) * mixers[0, 0, 0]
-            key ^= key >> np.uint64(32)
-        out[:, n] = key.astype(np.uint32).view(np.int32)
+    def __init__(self, lines: pa.Array):
+        low = pc.utf8_lower(lines)
+        ends = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
+        text = np.frombuffer(low.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        self.bounds = ends - ends[0]
+        word = WORDS[text]
+        if (text >= 0xC2).any():
+            at = np.flatnonzero((text == 0xC2) | (text == 0xE2) | (text == 0xE3))
+            after = text[np.minimum(at + 1, len(text) - 1)]
+            two = at[(text[at] == 0xC2) & (after < 0xC0)]
+            three = at[((text[at] == 0xE2) & ((after == 0x80) | (after == 0x81))) | ((text[at] == 0xE3) & (after == 0x80))]
+            for k, which in ((0, two), (1, two), (0, three), (1, three), (2, three)):
+                word[np.minimum(which + k, len(text) - 1)] = False
+        self.text, self.word = NORMAL[text], word
+        edge = np.zeros(len(text) + 1, bool)
+        edge[self.bounds] = True
+        apart = np.concatenate([[False], word, [False]])
+        self.starts = np.flatnonzero(word & (~apart[:-2] | edge[:-1]))
+        self.ends = np.flatnonzero(word & (~apart[2:] | edge[1:])) + 1
+        self.first = np.searchsorted(self.starts, self.bounds[:-1])
+        self.counts = np.searchsorted(self.starts, self.bounds[1:]) - self.first
+
+    def strings(self) -> list[str]:
+        """The words of each line, one space between them."""
+        inner = np.ones(len(self.starts), bool)
+        inner[self.first[self.counts > 0]] = False
+        before = self.starts[inner] - 1
+        text, keep = self.text.copy(), self.word.copy()
+        text[before], keep[before] = 32, True
+        ends = np.concatenate([[0], np.cumsum(keep)])[self.bounds]
+        out = text[keep].tobytes()
+        return [out[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word."""
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[self.text] * _powers(BASE, len(self.text)), dtype=np.uint64)])
+        raw = (sums[self.ends] - sums[self.starts]) * _powers(INVERSE, len(self.text) + 1)[self.starts]
+        return _mix(raw + (self.ends - self.starts).astype(np.uint64) * GOLDEN)
+
+
+def line_hashes(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each line's sequence of ``counts`` hashed ``words``."""
+    out, ends = [], np.cumsum(counts)
+    rise, fall = _powers(BASE, len(words)), _powers(INVERSE, len(words) + 1)
+    for salt in (np.uint64(1), np.uint64(2)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(words ^ salt) * rise, dtype=np.uint64)])
+        whole = (sums[ends] - sums[ends - counts]) * fall[ends - counts]
+        out.append(_mix(whole + counts.astype(np.uint64) * GOLDEN + salt))
+    return out[0], out[1]
+
+
+def bit_counts(words: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+    """lines x 64: how many of a line's hashed words have each bit; ``line`` is sorted."""
+    out = np.zeros((lines, 64), np.uint32)
+    if not len(words):
+        return out
+    n = np.bincount(line, minlength=lines)
+    some = np.flatnonzero(n)
+    n = n[some]
+    # eight-bit counters side by side in a long: summed over 255 words at most, then widened
+    runs = -(-n // 255)
+    first = np.cumsum(runs) - runs
+    at = np.repeat(np.cumsum(n) - n, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
+    octets = words.astype("<u8").view(np.uint8).reshape(-1, 8)
+    for k in range(8):
+        sums = np.add.reduceat(LANES[octets[:, k]], at).astype("<u8").view(np.uint8).reshape(-1, 8)
+        out[some, 8 * k : 8 * k + 8] = sums if len(sums) == len(some) else np.add.reduceat(sums, first, axis=0, dtype=np.uint32)
     return out
 
 
-def line_digests(words: int = WORDS):
-    """A pandas UDF: line -> (h, g: two hashes of its normal words, s: their SimHash, m: their band keys); null under ``words`` words."""
-
-    @F.pandas_udf("h bigint, g bigint, s bigint, m array<int>")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for lines in batches:
-            at, whole, counts, hashes = [], [], [], []
-            pending: list[str] = []
-            for i, line in enumerate(lines):
-                said = normal_words(line)
-                if len(said) >= words:
-                    at.append(i)
-                    whole.append(xxhash.xxh128_digest(" ".join(said)))
-                    counts.append(len(said))
-                    pending += said
-                    if len(pending) > CHUNK:
-                        hashes.append(_hashes(pending))
-                        pending = []
-            hashes.append(_hashes(pending))
-            out = pd.DataFrame({c: pd.array([None] * len(lines), "Int64") for c in "hgs"} | {"m": [None] * len(lines)})
-            if at:
-                both = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
-                every, each = np.concatenate(hashes), np.array(counts, np.int64)
-                for c, v in (("h", both[:, 0]), ("g", both[:, 1]), ("s", simhashes(every, each).astype(np.int64))):
-                    out.loc[at, c] = v
-                bands = np.full(len(lines), None, object)
-                bands[at] = pd.Series(list(band_keys(every, each))).to_numpy()
-                out["m"] = bands
-            yield out
-
-    return digests
-
-
-def _scheme(lines: int, distance: int) -> list[list[tuple[int, int]]]:
-    """Sets of bit ranges; two hashes within ``distance`` agree on at least one whole set.
-
-    Of ``distance + k`` blocks any k agree somewhere; k grows with the table so that lines rarely meet
-    by chance. Which pairs are found doesn't depend on k.
-    """
-    need = math.log2(max(lines, 2)) + 4
-    k = next(k for k in range(1, 40) if k == 39 or 64 * k / (distance + k) >= min(need, 48))
-    cuts = [round(64 * i / (distance + k)) for i in range(distance + k + 1)]
-    return [[(cuts[i], cuts[i + 1]) for i in c] for c in combinations(range(distance + k), k)]
-
+def _majority(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.packbits(2 * ones > n[..., None], axis=-1, bitorder="little").view("<u8")[..., 0]
 
-def _block_key(bits: list[tuple[int, int]], n: int):
-    mask = sum(((1 << (b - a)) - 1) << a for a, b in bits)
-    signed = mask - (1 << 64) if mask >> 63 else mask
-    return F.xxhash64(F.lit(n), F.col("s").bitwiseAND(F.lit(signed).cast("bigint")))
 
+def blocks(words: np.ndarray, letters: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(SimHash over all words, lines x keys, lines x keys: whether a line has that key).
 
-def line_groups(docs: DataFrame, key: str, text: str, words: int, distance: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(lines(id, no, h, g), groups(h, g, first)) - ``first`` is the occurrence that a line's group keeps."""
+    A word that a line repeats counts once, else "the" alone would be the majority of its block.
+    """
+    lines = len(counts)
+    # sorted by line, then hash: 16, 44 and 4 bits
+    each = np.repeat(np.arange(lines, dtype=np.uint64), counts) << np.uint64(48) | words >> np.uint64(20) << np.uint64(4)
+    each = np.unique(each | np.minimum(letters, 15).astype(np.uint64))
+    line, letters = (each >> np.uint64(48)).astype(np.int64), (each & np.uint64(15)).astype(np.int64)
+    words = _mix(each >> np.uint64(4) & np.uint64((1 << 44) - 1))
+    part = (words >> np.uint64(61)).astype(np.uint8)
+    bits = _mix(words ^ GOLDEN)
+    ones, n, size = np.zeros((PARTS, lines, 64), np.uint32), np.zeros((PARTS, lines), np.int64), np.zeros((PARTS, lines))
+    for p in range(PARTS):
+        own = np.flatnonzero(part == p)
+        ones[p] = bit_counts(bits[own], line[own], lines)
+        n[p], size[p] = np.bincount(line[own], minlength=lines), np.bincount(line[own], letters[own], lines)
+    half, whole = PARTS // 2, n.sum(0)
+    coarse = ones[:half] + ones[half:]
+    coarse_n, coarse_size = n[:half] + n[half:], size[:half] + size[half:]
+    keys, has = [], []
+    salts = _mix(np.arange(1, 65, dtype=np.uint64))
+    sims = _majority(coarse, coarse_n)
+    for i, j in combinations(range(half), 2):
+        keys.append(_mix(_mix(sims[i] + salts[len(keys)]) ^ sims[j]))
+        said, size_ = coarse_n[i] + coarse_n[j], coarse_size[i] + coarse_size[j]
+        enough = np.where(whole <= TINY, size_ >= TINY_LETTERS, (size_ >= SHORT_LETTERS) & (said >= SHORT_WORDS))
+        has.append((whole <= SHORT) & enough)
+    sims = _majority(ones, n)
+    for p in range(PARTS):
+        keys.append(_mix(sims[p] + salts[len(keys)]))
+        has.append((whole >= LONG) & (n[p] >= LONG_WORDS) & (size[p] >= LONG_LETTERS))
+    return _majority(coarse.sum(0, dtype=np.uint32), whole), np.stack(keys, 1), np.stack(has, 1)
+
+
+def _slices(lines: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of ``CHUNK`` bytes or so; a longer line goes alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(lines):
+        b = min(max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHUNK, side="right"))), a + (1 << 16))
+        yield a, b
+        a = b
+
+
+def digest_lines(lines: pa.Array) -> Iterator[tuple[int, _Lines, np.ndarray]]:
+    """(number of the first line, the lines, their words' hashes), chunk by chunk."""
+    lines = lines.cast(pa.large_string())
+    for a, b in _slices(lines):
+        some = _Lines(lines.slice(a, b - a))
+        yield a, some, some.hashes()
+
+
+def line_digests(each: DataFrame, words: int) -> DataFrame:
+    """``each(id, no, line)`` -> (id, no, h, g: two hashes of its normal words, s: their SimHash, keys: to meet on); lines of under ``words`` words are left out."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, some, hashes in digest_lines(batch.column("line")):
+                h, g = line_hashes(hashes, some.counts)
+                s, keys, has = blocks(hashes, some.ends - some.starts, some.counts)
+                keep = some.counts >= max(words, 1)
+                has = has[keep]
+                offsets = np.concatenate([[0], np.cumsum(has.sum(1))]).astype(np.int32)
+                own, mask = batch.slice(a, len(some.counts)), pa.array(keep)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("id").filter(mask), own.column("no").filter(mask), *(pa.array(x[keep].astype(np.int64)) for x in (h, g, s)),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[keep][has].astype(np.int64)))],
+                    names=["id", "no", "h", "g", "s", "keys"],
+                )
+
+    return each.mapInArrow(digests, "id bigint, no int, h bigint, g bigint, s bigint, keys array<bigint>")
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein's distance, a column of the table as the bits of two whole numbers (Myers).
+
+    If it is over ``most``, some number over ``most`` will do.
+    """
+    start, least = 0, min(len(a), len(b))
+    while start < least and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
+    most = len(a) + len(b) if most is None else most
+    where: dict[str, int] = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    full, top, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    plus, minus, rest = full, 0, len(b)
+    for c in b:
+        same = where.get(c, 0)
+        down = same | minus
+        across = (((same & plus) + plus) ^ plus) | same
+        more, less = minus | (~(across | plus) & full), plus & across
+        rest -= 1
+        if more & top:
+            distance += 1
+        elif less & top:
+            distance -= 1
+        if distance - rest > most:  # it falls by one a sign at most
+            return distance - rest
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        plus, minus = (less | ~(down | more)) & full, more & down
+    return distance
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is ``most`` at most."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(), b.split()
+    if len(x) == len(y):  # word for word, which bounds the distance from above
+        bound = 0
+        for u, v in zip(x, y):
+            if u != v:
+                bound += edit_distance(u, v)
+                if bound > most:
+                    break
+        else:
+            return True
+    return edit_distance(a, b, most) <= most
+
+
+def most_edits(one: int, two: int, similarity: float) -> int:
+    return int((1 - similarity) * max(one, two) + 1e-9)
+
+
+def repeated_lines(docs: DataFrame, key: str, text: str, words: int, distance: int, similarity: float) -> DataFrame:
+    """(id, no) of every line but the first occurrence of its group."""
+    spark = docs.sparkSession
     base = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     # a row for each line, so a worker's batches are as small as its lines, however long the texts
-    each = base.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    lines = cut(each.select("id", "no", line_digests(words)(F.col("line")).alias("d")).where("d.h is not null").select("id", "no", "d.*"))
-    classes = cut(
-        lines.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("first"), F.min("s").alias("s"), F.first("m").alias("m"), F.count("*").alias("n"))
+    lines = cut(line_digests(base.select("id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")), words))
+    met = lines.select(F.explode("keys").alias("b"), F.col("h").alias("id"))
+    # hardly any key is shared by different lines: a first pass names those, combined per task
+    shared_keys = cut(met.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("b"))
+    release(spark)
+    buckets = met.join(small(shared_keys), "b").select("b", "id").distinct()
+
+    def said(shared: DataFrame) -> DataFrame:
+        """(id, s, t) of the lines that share a key: their normal words, read once more from their documents."""
+        wanted = lines.join(small(cut(shared)).withColumnRenamed("id", "h"), "h", "left_semi")
+        wanted = wanted.groupBy("h").agg(F.min(F.struct("id", "no")).alias("first"), F.first("s").alias("s")).select("first.*", "h", "s")
+        per_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("no", "h", "s")).alias("of"))  # of one document's lines
+        parts = F.transform(F.array(F.split("text", "\n", -1)), lambda p: F.transform("of", lambda w: F.struct(w["h"].alias("h"), w["s"].alias("s"), F.get(p, w["no"]).alias("line"))))
+        each = base.join(small(cut(per_doc)), "id").select(F.inline(parts[0])).where("line is not null")
+
+        def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, some, hashes in digest_lines(batch.column("line")):
+                    own = batch.slice(a, len(some.counts))
+                    # rows that share an id may have other lines there
+                    right = own.column("h").to_numpy() == line_hashes(hashes, some.counts)[0].astype(np.int64)
+                    made = pa.RecordBatch.from_arrays([own.column("h"), own.column("s"), pa.array(some.strings(), pa.string())], names=["id", "s", "t"])
+                    yield made.filter(pa.array(right))
+
+        return each.mapInArrow(normal, "id bigint, s bigint, t string").dropDuplicates(["id"])
+
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        one, two = (texts.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+        near = pairs.join(one, "a").join(two, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= distance).select("a", "b")
+        both = near.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+
+        def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [within(x, y, most_edits(len(x), len(y), similarity)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
+
+    def compare(asking: pa.Table, asked: pa.Table, may: np.ndarray) -> list[tuple[int, int]]:
+        (i, s, t), (j, z, y) = ([table.column(c) for c in ("id", "s", "t")] for table in (asking, asked))
+        near = may & (np.bitwise_count(s.to_numpy().view(np.uint64)[:, None] ^ z.to_numpy().view(np.uint64)) <= distance)
+        i, t, j, y = (c.to_pylist() for c in (i, t, j, y))
+        return [(i[n], j[k]) for n, k in zip(*(x.tolist() for x in np.nonzero(near))) if within(t[n], y[k], most_edits(len(t[n]), len(y[k]), similarity))]
+
+    roots = connected_groups(link_buckets(buckets, verify, compare, said)).withColumnRenamed("id", "h")
+    # equal lines have both hashes in common, linked ones their root
+    named = lines.select("id", "no", "h", "g").join(small(cut(roots)), "h", "left").select(
+        "id", "no", F.coalesce("root", "h").alias("root"), F.when(F.col("root").isNull(), F.col("g")).otherwise(F.lit(0)).alias("g")
     )
-    size, close = classes.count(), min(distance, CLOSE)
-    keys = F.array(*(_block_key(bits, n) for n, bits in enumerate(_scheme(size, close))))
-    blocks = classes.select(F.explode(keys).alias("b"), F.col("h").alias("id"))
-    bands = classes.select(F.posexplode("m").alias("n", "k"), F.col("h").alias("id")).select(F.xxhash64("n", "k").alias("b"), "id")
-
-    def verify(pairs: DataFrame, distance: int) -> DataFrame:
-        one, two = classes.select(F.col("h").alias("a"), F.col("s").alias("sa"), F.col("first").alias("fa")), classes.select(F.col("h").alias("b"), F.col("s").alias("sb"), F.col("first").alias("fb"))
-        near = cut(pairs.join(one, "a").join(two, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= distance))
-        wanted = near.select(F.explode(F.array("fa", "fb")).alias("f")).select("f.id", "f.no").distinct()
-        per_doc = wanted.groupBy("id").agg(F.collect_list("no").alias("nos"))  # of one document's lines
-        parts = F.transform(F.array(F.split("text", "\n")), lambda p: F.transform("nos", lambda i: F.struct(i.alias("no"), F.get(p, i).alias("line"))))
-        said = base.join(per_doc, "id").select("id", F.inline(parts[0])).select(
-            F.struct("id", "no").alias("f"),
-            F.regexp_replace(F.regexp_replace(F.lower("line"), r"\d", "0"), r"[^\p{L}\p{N}_]+", " ").alias("t"),
-        )
-        both = near.join(said.select(F.col("f").alias("fa"), F.col("t").alias("x")), "fa").join(said.select(F.col("f").alias("fb"), F.col("t").alias("y")), "fb")
-        most = f"cast(floor({1 - similarity:.6f} * greatest(length(x), length(y))) as int)"
-        return both.where(f"levenshtein(x, y, {most}) >= 0").select("a", "b").distinct()
-
-    links = link_buckets(blocks, lambda pairs: verify(pairs, close)).union(link_buckets(bands, lambda pairs: verify(pairs, distance)))
-    roots = connected_groups(links)
-    named = classes.join(roots.withColumnRenamed("id", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    firsts = named.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
-    return lines.select("id", "no", "h", "g"), named.join(firsts, "root").select("h", "g", "keep")
+    groups = cut(named.groupBy("root", "g").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").select("root", "g", "keep_id"))
+    repeated = cut(named.join(small(groups), ["root", "g"]))
+    first = repeated.where("id = keep_id").groupBy("root", "g").agg(F.min("no").alias("keep_no"))
+    return repeated.join(first, ["root", "g"]).where("id <> keep_id OR no <> keep_no").select("id", "no")
 
 
 def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, distance: int = DISTANCE, similarity: float = SIMILARITY,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 1, distance: int = DISTANCE, similarity: float = SIMILARITY,
 ) -> DataFrame:
     """``docs`` with text cut to the lines that stay, and removed_lines (sorted numbers from 0).
 
-    The first occurrence of a group is the one with the smallest (id, line number). Lines of fewer
-    than ``words`` words stay. Rows that share an id count as one document and lose the same lines;
-    rows with a null id or text stay as they are. Empty tables give empty results. A clashing column
+    The first occurrence of a group is the one with the smallest (id, line number). Lines with the
+    same normal words are one group, however short; lines of under ``words`` words stay, as do those
+    without any. Rows that share an id count as one document and lose the same lines; rows with a
+    null id or text stay as they are. Empty tables give empty results. A clashing column
     removed_lines is replaced.
     """
-    lines, groups = line_groups(docs, key, text, words, distance, similarity)
-    gone = (
-        lines.join(groups, ["h", "g"]).where(F.struct("id", "no") != F.col("keep"))
-        .groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone"))  # of one document
-    )
+    repeated = repeated_lines(docs, key, text, words, distance, similarity)
+    gone = cut(repeated.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone")))  # of one document
+    release(docs.sparkSession)
     rows = docs.select(whole_rows(docs, "removed_lines"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     joined = rows.join(gone, F.col("key") == F.col("id"), "left")
     stays = F.filter(
