@@ -39,7 +39,8 @@ def facet_counts(rows: DataFrame, facet: Facet) -> DataFrame:
     """(dim, path, value, child_count, label, label_value, rank), best labels first.
 
     A row counts once for each different child. Labels are counted with a partial aggregate; only the
-    top ones are sorted. A leaf or a path that isn't there gives no row.
+    top ones are sorted. A leaf or a path that isn't there gives one row of value and child count 0 without a
+    label.
     """
     depth = len(facet.path)
     prefix = F.array(*map(F.lit, facet.path)) if depth else None
@@ -49,9 +50,9 @@ def facet_counts(rows: DataFrame, facet: Facet) -> DataFrame:
     children = F.array_distinct(F.transform(F.filter(own, lambda p: F.size(p) > depth), lambda p: F.get(p, F.lit(depth))))
     counts = rows.select(F.explode(children).alias("label")).groupBy("label").agg(F.count("*").alias("label_value"))
     dim = F.lit(facet.field.name)
-    whole = counts.agg(F.sum("label_value").alias("value"), F.count("*").alias("child_count")).withColumn("dim", dim)
+    whole = counts.agg(F.coalesce(F.sum("label_value"), F.lit(0)).cast("bigint").alias("value"), F.count("*").alias("child_count")).withColumn("dim", dim)
     best = counts.orderBy(F.desc("label_value"), "label").limit(facet.top)
     numbered = best.withColumn("dim", dim).withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("label_value"), "label")))
-    return numbered.join(F.broadcast(whole), "dim").select(
+    return whole.join(numbered, "dim", "left").select(
         "dim", F.lit("/".join(facet.path)).alias("path"), "value", "child_count", "label", "label_value", F.col("rank").cast("bigint").alias("rank")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .engine import Engine, batch_search, shard_of
 from .operators.scoring import Similarity
-from .schema import DYNAMIC, Schema, schema_of
+from .schema import DYNAMIC, Field, Schema, schema_of
 from .sources.changes import apply_changes, update, upsert
 from .sources.json_docs import dynamic_map, parse_documents, parse_requests
 from .sources.modes import size_index, time_index
+from .streaming.ingest import StreamTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -312,6 +315,25 @@ _facet("facet_two_dims", _orders, "SELECT * WHERE o_totalprice > 200000 BROWSE B
 _facet("drill_down_facets", _part, "SELECT * BROWSE BY kind(10) DRILL DOWN kind('SMALL')", [(PART, "kind", "", 0, "p_type = 'SMALL'", 10)])
 _facet("drill_sideways", _part, "SELECT * BROWSE BY kind(10) DRILL SIDEWAYS kind('SMALL')", [(PART, "kind", "", 0, "true", 10)])
 
+QUERIES["facet_leaf"] = lambda spark, d: _part(spark, d).search("SELECT * BROWSE BY kind(5, 'PROMO/Brand#1'), kind(5, 'NOSUCH')").facets
+SQL["facet_leaf"] = " UNION ALL ".join(
+    f"SELECT 'kind' AS dim, '{path}' AS path, 0::BIGINT AS value, 0::BIGINT AS child_count, NULL::VARCHAR AS label, NULL::BIGINT AS label_value, NULL::BIGINT AS rank"
+    for path in ("PROMO/Brand#1", "NOSUCH")
+)
+_facet("drill_down_multi", _part, "SELECT * BROWSE BY kind(10) DRILL DOWN kind('SMALL'), kind('PROMO/Brand#1')", [(PART, "kind", "", 0, "(p_type = 'SMALL' OR kind = 'PROMO/Brand#1')", 10)])
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of a field with several values a row: a row counts once for each different one."""
+    df = _part(spark, d).tables.withColumn("words", F.col("p_words"))
+    return Engine(schema_of(df, "p_partkey", ("p_name",), ("words",)), df).search("SELECT * WHERE p_size > 20 BROWSE BY words(8)").facets
+
+
+QUERIES["facet_multi_value"] = _words
+SQL["facet_multi_value"] = f"""WITH c AS (SELECT label, count(*) AS label_value FROM (SELECT DISTINCT p_partkey, unnest(p_words) AS label FROM {PART} WHERE p_size > 20) GROUP BY 1)
+SELECT 'words' AS dim, '' AS path, (SELECT sum(label_value) FROM c)::BIGINT AS value, (SELECT count(*) FROM c) AS child_count, label, label_value,
+       row_number() OVER (ORDER BY label_value DESC, label) AS rank FROM c QUALIFY rank <= 8"""
+
 
 def _buckets(name: str, engine: Callable, statement: str, field: str, table: str, rows: list[tuple[str, str]]) -> None:
     QUERIES[name] = lambda spark, d: engine(spark, d).search(statement).aggregations
@@ -468,6 +490,44 @@ QUERIES["json_envelopes"] = _envelopes
 SQL["json_envelopes"] = "SELECT CASE WHEN p_size % 2 = 0 THEN 'INDEX' ELSE 'REPLACE' END AS kind, p_partkey::VARCHAR AS id, p_name, p_size, p_retailprice FROM part"
 
 
+# --- streams -----------------------------------------------------------------------------------
+
+EVENTS = Schema("id", (Field("event_type"), Field("value", "double")))
+
+
+def _requests(events: DataFrame) -> DataFrame:
+    """Events as requests about their users: of seven, one deletes, two update and four index."""
+    doc = F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), "event_type", "value"))
+    part = F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), "value"))
+    k = F.col("event_id") % 7
+    value = (
+        F.when(k == 0, F.to_json(F.struct(F.lit("delete").alias("type"), F.col("user_id").cast("string").alias("id"))))
+        .when(k < 3, F.to_json(F.struct(F.lit("update").alias("type"), part.alias("content")))).otherwise(doc)
+    )
+    return events.where("user_id IS NOT NULL").select(value.alias("value"), F.col("event_id").alias("seq"))
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    table = StreamTable(spark, f"{folder}/table", EVENTS, compact=2)
+    requests = _requests(spark.read.parquet(f"{d}/events.parquet"))
+    low, high = requests.agg(F.min("seq"), F.max("seq")).first()
+    thirds = [low + (high + 1 - low) * k // 3 for k in range(4)] if low is not None else []
+    for a, b in zip(thirds, thirds[1:]):  # requests come in three times
+        requests.where((F.col("seq") >= a) & (F.col("seq") < b)).write.mode("append").json(f"{folder}/in")
+        stream = spark.readStream.schema("value string, seq long").json(f"{folder}/in")
+        table.start(stream, f"{folder}/progress").awaitTermination()
+    return table.read().select("id", "event_type", "value")
+
+
+QUERIES["index_stream"] = _stream
+SQL["index_stream"] = """WITH log AS (SELECT user_id::VARCHAR AS id, event_id AS seq, event_id % 7 AS k, event_type, value FROM events WHERE user_id IS NOT NULL),
+base AS (SELECT id, max(seq) AS seq FROM log WHERE k NOT IN (1, 2) GROUP BY id),
+put AS (SELECT log.* FROM log JOIN base USING (id, seq) WHERE k > 2),
+upd AS (SELECT l.id, arg_max(l.value, l.seq) AS value FROM log l JOIN base b ON l.id = b.id AND l.seq > b.seq WHERE k IN (1, 2) AND l.value IS NOT NULL GROUP BY l.id)
+SELECT put.id, event_type, coalesce(upd.value, put.value) AS value FROM put LEFT JOIN upd ON put.id = upd.id"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One statement with a filter, an order and a page."""
     return _part(spark, sf_dir).search("SELECT p_name FROM part WHERE p_retailprice < 1000 AND p_brand = 'Brand#4' ORDER BY p_retailprice ASC LIMIT 0, 10 SOURCE").hits

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quillspark.engine import Engine, shard_of
 from quillspark.schema import Field, Schema
-from quillspark.sources.changes import apply_changes, update, upsert
+from quillspark.sources.changes import apply_changes, resolve_requests, update, upsert
 from quillspark.sources.json_docs import parse_documents, parse_requests, read_json_lines
 from quillspark.sources.modes import HotSwap, MultiTable, batch_build
-from quillspark.streaming.ingest import StreamTable
+from quillspark.streaming.ingest import StreamTable, StreamTables
 
 S = Schema("id", (Field("title", tokenized=True), Field("rank", "double"), Field("tags", multi=True)))
 
@@ -84,3 +84,49 @@ def test_stream_table(spark, tmp_path):
     push("2.txt", [{"type": "delete", "id": "2", "seq": 4}, {"id": "3", "title": "d", "seq": 5}])
     assert {(r["id"], r["title"]) for r in table.read().collect()} == {("1", "c"), ("3", "d")}
     assert read_json_lines(spark, str(source / "1.txt"), S).count() == 3
+
+
+def lines_of(spark, requests, start=1):
+    return spark.createDataFrame([(json.dumps(r), start + i) for i, r in enumerate(requests)], "value string, seq long")
+
+
+def test_updates_in_a_log(spark):
+    table = spark.createDataFrame([("1", "a", 1.0, {"x": "1", "y": "2"}), ("2", "b", 2.0, None)], "id string, title string, rank double, d map<string,string>")
+    log = spark.createDataFrame(
+        [("1", 1, "UPDATE", None, 7.0, {"y": "9"}), ("1", 2, "UPDATE", "z", None, {}), ("2", 3, "UPDATE", "lost", None, None), ("2", 4, "INDEX", "n", None, None), ("2", 5, "UPDATE", None, 5.0, None),
+         ("3", 6, "UPDATE", "q", None, None), ("1", 7, "UPDATE", None, 8.0, None), ("4", 8, "INDEX", "w", 1.0, None), ("4", 9, "DELETE", None, None, None), ("4", 10, "UPDATE", "v", None, None), (None, 11, "INDEX", "no", 0.0, None)],
+        "id string, seq int, kind string, title string, rank double, d map<string,string>")
+    done, failed = resolve_requests(table, log, "id")
+    got = {r["id"]: (r["title"], r["rank"], r["d"], r["__gone"]) for r in done.collect()}
+    assert got == {"1": ("z", 8.0, {"x": "1", "y": "9"}, False), "2": ("n", 5.0, None, False), "4": ("v", None, None, True)}
+    assert {(r["id"], r["seq"]) for r in failed.collect()} == {("3", 6), ("4", 10)}
+
+
+def test_stream_table_updates_and_compacts(spark, tmp_path):
+    table = StreamTable(spark, str(tmp_path / "t"), S, compact=2)
+    table.apply(lines_of(spark, [{"id": "1", "title": "a", "rank": 1}, {"id": "2", "title": "b"}]), 0)
+    for _ in range(2):  # a batch that runs again
+        table.apply(lines_of(spark, [{"type": "update", "content": {"id": "1", "rank": 5}}, {"type": "delete", "id": "2"}, {"type": "update", "content": {"id": "9", "rank": 5}}], 3), 1)
+        assert [(r["id"], r["title"], r["rank"]) for r in table.read().collect()] == [("1", "a", 5.0)]
+        assert [(r["id"], r["seq"]) for r in table.failed().collect()] == [("9", 5)]
+    assert table.folders.numbers("base") == [1]
+    for n in range(2, 6):
+        table.apply(lines_of(spark, [{"id": str(n), "title": "c"}], 10 * n), n)
+    assert {r["id"] for r in table.read().collect()} == {"1", "2", "3", "4", "5"} and table.folders.numbers("base") == [3, 5]
+    with pytest.raises(ValueError, match="DELETE_INDEX"):
+        table.apply(lines_of(spark, [{"type": "delete_index", "index": "x"}]), 9)
+
+
+def test_stream_tables_delete_and_swap_indexes(spark, tmp_path):
+    tables = StreamTables(spark, str(tmp_path / "t"), S)
+    assert tables.read().count() == 0
+    for _ in range(2):
+        tables.apply(lines_of(spark, [
+            {"type": "index", "content": {"id": "1", "title": "old"}}, {"type": "index", "content": {"id": "7", "title": "new"}, "index": "next_1"},
+            {"type": "swap_index", "index": "next_1"}, {"type": "index", "content": {"id": "8", "title": "newer"}}, {"type": "index", "content": {"id": "9"}, "index": "side"},
+        ]), 0)
+        assert {r["id"] for r in tables.read().collect()} == {"7", "8"} and set(tables.names()) == {"live", "side"}
+    tables.apply(lines_of(spark, [{"type": "delete_index", "index": "side"}, {"type": "swap_index", "index": "nothing"}, {"type": "update", "content": {"id": "7", "rank": 3}}], 20), 1)
+    assert {(r["id"], r["rank"]) for r in tables.read().collect()} == {("7", 3.0), ("8", None)} and set(tables.names()) == {"live"}
+    with pytest.raises(ValueError, match="no index side"):
+        tables.read("side")
