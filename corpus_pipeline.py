@@ -3,7 +3,11 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns the next
 stage's documents, the last one the packed pieces. No stage can be expressed in SQL (trained trees,
 SimHash and edit similarity, signatures, a tokenizer), so ``ORACLE_SQL`` is None. The tests hold the
-operators of line dedup and near-dedup against brute force, but not ``run`` or its stages.
+line and near-duplicate stages against brute force, and ``run`` against its stages one by one.
+
+Nulls, empty texts and repeated rows pass through every stage: a null or empty text is scored like
+any other, has no lines, links with nothing, is mixed by its source and packed as its end token alone.
+Extra columns are dropped by the first stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,17 +44,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the rows with the smallest id, once per text; null ids stay."""
     return keep_one_of_each(docs).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows replicated to the sources' target shares; rows with equal ids get equal counts."""
     return mix_sources(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of every row, repeated ones each."""
     return pack_documents(docs)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
@@ -68,4 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # what came before has been read for the last time
+            remove(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
