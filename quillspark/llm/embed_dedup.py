@@ -1,11 +1,16 @@
 """Embedding near-duplicates on a Robust-pruned flat graph.
 
 Vectors go to their nearest clusters, several each, so that shards overlap. Every shard builds a
-Robust-pruned graph over its members; the adjacency lists of a vector's shards are united. Each
-vector then searches its shards' members over the united lists: greedily from medoids to its
-neighbourhood, then onwards as long as neighbours stay in range. Links are verified by cosine in
-double precision. A link counts in the first shard that both vectors share, so no list of pairs is
-made. Recall is audited against brute force, and shards overlap more if it falls short.
+Robust-pruned graph over its members, whose candidate neighbours come from the leaves of a few
+random projection trees; the adjacency lists of a vector's shards are united. Each vector then
+searches its shards' members over the united lists: greedily from medoids to its neighbourhood, then
+onwards as long as neighbours stay in range. Only similarities along visited edges are computed, in
+double precision, and those in range are the verified links. A link counts in the first shard that
+both vectors share, so no list of pairs is made. Recall is audited against brute force, and shards
+overlap more if it falls short; if it still does, all blocks are compared.
+
+Shards keep their size as the table grows: beyond ``CLUSTERS`` shards, clusters are divided by the
+residuals to their centres, and again, with codebooks of ``RESIDUALS`` entries each.
 """
 
 from __future__ import annotations
@@ -23,15 +28,16 @@ from .common import connected_groups, cut, ship
 COSINE = 0.95
 #: Vectors that cluster centres are fitted on, at most about so many, chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
-#: Vectors whose links are compared with brute force over all rows.
+#: Vectors whose links are compared with brute force over all rows: so many of all, and of those with links.
 AUDIT_ROWS = 200
 TARGET_RECALL = 0.98
 OVERLAPS = (3, 6, 12)
-#: Members of a shard on average, and at most in a block; larger shards are compared block by block.
+#: Members of a shard on average, and at most in a block; larger shards are searched by pairs of blocks.
 SHARD_ROWS, BLOCK_ROWS = 1000, 1500
-#: Centres are broadcast: at most 2048 x the dimension.
-CLUSTERS = 2048
-DEGREE, POOL, ALPHA, SLACK, ENTRIES = 24, 64, 1.2, 0.08, 48
+#: Centres are broadcast: at most so many and the codebooks of residuals, however large the table.
+CLUSTERS, RESIDUALS = 2048, 64
+#: Projection trees, members of a leaf at most, neighbours, entry points.
+TREES, LEAF, DEGREE, ALPHA, SLACK, ENTRIES = 4, 32, 24, 1.2, 0.08, 48
 LOG = logging.getLogger(__name__)
 
 
@@ -63,71 +69,114 @@ def cluster_centres(x: np.ndarray, clusters: int, rounds: int = 4) -> np.ndarray
 # --- one shard ------------------------------------------------------------------------------
 
 
-def robust_prune(sims: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA, seed: int = 0) -> np.ndarray:
-    """members x degree neighbours (-1: none): of the nearest and some random candidates, the nearest
-    that isn't ``alpha`` times nearer to a neighbour already chosen, again and again."""
-    n = len(sims)
+def dots(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarities of rows ``a`` and ``b``, pair by pair."""
+    out = np.empty(a.shape)
+    flat, a, b = out.reshape(-1), np.ascontiguousarray(a).reshape(-1), np.ascontiguousarray(b).reshape(-1)
+    for i in range(0, len(a), 20_000):
+        flat[i : i + 20_000] = np.einsum("ij,ij->i", x[a[i : i + 20_000]], x[b[i : i + 20_000]])
+    return out
+
+
+def leaf_mates(x: np.ndarray, seed: int) -> np.ndarray:
+    """members x LEAF others (-1: none) of the leaf of a random projection tree that each falls into."""
+    n, rng = len(x), np.random.default_rng(seed)
+    leaves = 1 << max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
+    node, parts = np.zeros(n, np.int64), 1
+    while parts < leaves:  # halves of equal size, by a direction of each node's own
+        side = np.einsum("ij,ij->i", x, rng.normal(size=(parts, x.shape[1]))[node])
+        order = np.lexsort((side, node))
+        count = np.bincount(node, minlength=parts)
+        place = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
+        node[order] = 2 * node[order] + (place >= -(-count[node[order]] // 2))
+        parts *= 2
+    order = np.argsort(node, kind="stable")
+    count = np.bincount(node, minlength=parts)
+    mates = np.full((parts, LEAF), -1)
+    mates[node[order], np.arange(n) - np.repeat(np.cumsum(count) - count, count)] = order
+    return mates[node]
+
+
+def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, seed: int = 0) -> np.ndarray:
+    """members x degree neighbours (-1: none): of the candidates - mates in the trees' leaves and some
+    random members - the nearest that isn't ``alpha`` times nearer to a neighbour already chosen, again and again."""
+    n = len(x)
     out = np.full((n, degree), -1)
     if n < 2:
         return out
-    near = min(pool, n - 1)
-    own = sims.copy()
-    np.fill_diagonal(own, -np.inf)
-    cand = np.argpartition(own, n - near, axis=1)[:, n - near :]
-    cand = np.concatenate([cand, np.random.default_rng(seed).integers(0, n, (n, pool // 2))], 1)
     rows = np.arange(n)
-    dist = 2 - 2 * sims[rows[:, None], cand]
-    alive = cand != rows[:, None]
+    cand = np.concatenate([leaf_mates(x, seed * TREES + k) for k in range(TREES)] + [np.random.default_rng(seed).integers(0, n, (n, LEAF // 2))], 1)
+    cand = np.sort(cand, 1)
+    alive = (cand >= 0) & (cand != rows[:, None])
+    alive[:, 1:] &= cand[:, 1:] != cand[:, :-1]
+    cand = np.where(alive, cand, 0)
+    dist = np.where(alive, 2 - 2 * dots(x, np.broadcast_to(rows[:, None], cand.shape), cand), np.inf)
     for k in range(degree):
         best = np.where(alive, dist, np.inf).argmin(1)
-        some = alive[rows, best]
-        if not some.any():
+        some = np.flatnonzero(alive[rows, best])
+        if not len(some):
             break
-        star = cand[rows, best]
-        out[:, k] = np.where(some, star, -1)
-        alive &= alpha**2 * (2 - 2 * sims[star[:, None], cand]) > dist
-        alive &= cand != star[:, None]
+        star = cand[some, best[some]]
+        out[some, k] = star
+        # what is left of each member's candidates, against the neighbour chosen last
+        at, which = np.nonzero(alive[some])
+        near = 2 - 2 * dots(x, star[at], cand[some[at], which])
+        gone = (alpha**2 * near <= dist[some[at], which]) | (cand[some[at], which] == star[at])
+        alive[some[at[gone]], which[gone]] = False
     return out
 
 
-def range_search(sims: np.ndarray, adjacency: np.ndarray, limit: float, slack: float = SLACK, seed: int = 0) -> np.ndarray:
-    """members x members: which are found within ``limit`` of which, over the graph."""
-    n = len(sims)
-    seen = np.zeros((n, n), bool)
-    # medoids: the most central member and spread ones; each starts from its two nearest
-    entry = np.unique(np.append(np.random.default_rng(seed).integers(0, n, ENTRIES), sims.sum(1).argmax()))
-    starts = entry[np.argsort(-sims[:, entry], axis=1)[:, :2]]
+def range_search(x: np.ndarray, adjacency: np.ndarray, limit: float, slack: float = SLACK, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), both ways: members within ``limit`` of each other that are found over the graph."""
+    n = len(x)
     rows = np.arange(n)
+    seen = rows * n + rows
+    # medoids: the most central member and spread ones; each starts from its two nearest
+    entry = np.unique(np.append(np.random.default_rng(seed).integers(0, n, ENTRIES), (x @ x.sum(0)).argmax()))
+    near = x @ x[entry].T
+    top = np.argsort(-near, axis=1)[:, :2]
     found_q, found_x = [rows], [rows]
-    for here in starts.T:
-        here, going = here.copy(), rows
+    for column in top.T:
+        here, sim, going = entry[column], near[rows, column], rows
         while len(going):
             nbr = adjacency[here[going]]
-            s = np.where(nbr >= 0, sims[going[:, None], nbr], -np.inf)
+            s = np.full(nbr.shape, -np.inf)
+            there = nbr >= 0
+            s[there] = dots(x, np.broadcast_to(going[:, None], nbr.shape)[there], nbr[there])
             best = s.argmax(1)
-            better = s[np.arange(len(going)), best] > sims[going, here[going]]
-            better &= nbr[np.arange(len(going)), best] != going
-            going, nxt = going[better], nbr[better, best[better]]
-            here[going] = nxt
+            pick = s[np.arange(len(going)), best]
+            better = (pick > sim[going]) & (nbr[np.arange(len(going)), best] != going)
+            going, nxt, pick = going[better], nbr[better, best[better]], pick[better]
+            here[going], sim[going] = nxt, pick
         found_q.append(rows)
         found_x.append(here)
-    q, x = np.concatenate(found_q), np.concatenate(found_x)
-    seen[q, x] = True
-    while len(q):
-        parts_q, parts_x = [], []
-        for i in range(0, len(q), 100_000):
-            nbr = adjacency[x[i : i + 100_000]]
-            qq = np.broadcast_to(q[i : i + 100_000, None], nbr.shape)[nbr >= 0]
-            xx = nbr[nbr >= 0]
-            new = ~seen[qq, xx]
-            qq, xx = qq[new], xx[new]
-            seen[qq, xx] = True
-            near = sims[qq, xx] >= limit - slack
-            flat = np.unique(qq[near].astype(np.int64) * n + xx[near])
-            parts_q.append(flat // n)
-            parts_x.append(flat % n)
-        q, x = np.concatenate(parts_q), np.concatenate(parts_x)
-    return seen & (sims >= limit)
+    new = np.setdiff1d(np.concatenate(found_q) * n + np.concatenate(found_x), np.zeros(0, np.int64))
+    seen, links = np.union1d(seen, new), []
+    while len(new):
+        q, y = new // n, new % n
+        parts = []
+        for i in range(0, len(q), 50_000):
+            nbr = adjacency[y[i : i + 50_000]]
+            code = np.broadcast_to(q[i : i + 50_000, None] * n, nbr.shape)[nbr >= 0] + nbr[nbr >= 0]
+            parts.append(np.unique(code))
+        fresh = np.setdiff1d(np.unique(np.concatenate(parts)), seen, assume_unique=True)
+        seen = np.union1d(seen, fresh)
+        sim = dots(x, fresh // n, fresh % n)
+        links.append(fresh[sim >= limit])
+        new = fresh[sim >= limit - slack]
+    start = np.setdiff1d(np.concatenate(found_q[1:]) * n + np.concatenate(found_x[1:]), rows * n + rows)
+    links.append(start[dots(x, start // n, start % n) >= limit])
+    code = np.concatenate(links)
+    code = np.unique(np.concatenate([code, code % n * n + code // n]))
+    return code // n, code % n
+
+
+def all_in_range(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same by comparing all members."""
+    a, b = np.nonzero(x @ x.T >= limit - 1e-12)
+    a, b = a[a != b], b[a != b]
+    keep = dots(x, a, b) >= limit
+    return a[keep], b[keep]
 
 
 def _united(lists: list, ids: np.ndarray) -> np.ndarray:
@@ -149,21 +198,58 @@ def _united(lists: list, ids: np.ndarray) -> np.ndarray:
 # --- the corpus -----------------------------------------------------------------------------
 
 
-def _shards(classes: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> DataFrame:
+def fit_levels(x: np.ndarray, wanted: int) -> list[np.ndarray]:
+    """Cluster centres, then codebooks of residuals until they tell ``wanted`` shards apart."""
+    levels = [cluster_centres(x, min(wanted, CLUSTERS))]
+    told, rest = len(levels[0]), x
+    while told < wanted and len(x) > 1:
+        c = levels[-1]
+        own = np.concatenate([_distances(rest[i : i + 4096], c).argmin(1) for i in range(0, len(rest), 4096)])
+        rest = rest - c[own]
+        levels.append(_codebook(rest, min(RESIDUALS, -(-wanted // told))))
+        if len(levels[-1]) < 2:
+            break
+        told *= len(levels[-1])
+    return levels
+
+
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (c**2).sum(1) - 2 * x @ c.T
+
+
+def _codebook(x: np.ndarray, size: int, rounds: int = 4) -> np.ndarray:
+    """k-means from evenly spaced rows."""
+    c = x[np.linspace(0, len(x) - 1, min(size, len(x))).astype(int)].copy()
+    for _ in range(rounds):
+        own = np.concatenate([_distances(x[i : i + 4096], c).argmin(1) for i in range(0, len(x), 4096)])
+        sums, n = np.zeros_like(c), np.bincount(own, minlength=len(c))
+        np.add.at(sums, own, x)
+        c[n > 0] = sums[n > 0] / n[n > 0, None]
+    return c
+
+
+def shards_of(x: np.ndarray, levels: list[np.ndarray], overlap: int) -> np.ndarray:
+    """rows x shards: the ``overlap`` nearest clusters, in each the two nearest residuals, and so on."""
+    rows = np.repeat(np.arange(len(x)), min(overlap, len(levels[0])))
+    near = np.argsort(_distances(x, levels[0]), axis=1, kind="stable")[:, : min(overlap, len(levels[0]))].reshape(-1)
+    shard, rest = near.astype(np.int64), x[rows] - levels[0][near]
+    for c in levels[1:]:
+        k = min(2, len(c))
+        near = np.argsort(_distances(rest, c), axis=1, kind="stable")[:, :k].reshape(-1)
+        rest, shard = np.repeat(rest, k, 0) - c[near], np.repeat(shard, k) * len(c) + near
+    return shard.reshape(len(x), -1)
+
+
+def _shards(classes: DataFrame, levels: dict[int, list[np.ndarray]], overlap: int) -> DataFrame:
     """(dim, shard, block, blocks, id, n, v, homes): a row for each of a vector's shards."""
 
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for dim, rows in b.groupby(b["v"].map(len)):
-                c = centres.get(dim)
-                if c is None:
-                    top = np.zeros((len(rows), 1), int)
-                else:
-                    s = unit(rows["v"].tolist()) @ c.T
-                    k = min(overlap, s.shape[1])
-                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                out.append(rows.assign(homes=list(np.sort(top, 1))))
+                own = levels.get(dim)
+                shards = np.zeros((len(rows), 1), int) if own is None else shards_of(unit(rows["v"].tolist()), own, overlap)
+                out.append(rows.assign(homes=list(np.sort(shards, 1))))
             if out:
                 yield pd.concat(out)
 
@@ -173,35 +259,43 @@ def _shards(classes: DataFrame, centres: dict[int, np.ndarray], overlap: int) ->
     return each.join(sizes, ["dim", "shard"]).withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
 
 
+def _paired(members: DataFrame) -> DataFrame:
+    """Each member once for every pair of blocks of its shard that its own is one of."""
+    return members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
+        {"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}
+    )
+
+
 def _build(members: DataFrame) -> DataFrame:
     """(id, nbrs): the adjacency lists of all shards' graphs, united."""
 
     def build(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("id", kind="stable")
         ids = p["id"].to_numpy()
-        x = unit(p["v"].tolist())
-        nbr = robust_prune(x @ x.T, seed=int(key[1]))
+        nbr = robust_prune(unit(p["v"].tolist()), seed=int(key[1]) % 1_000_003)
         return pd.DataFrame({"id": ids, "nbrs": [ids[r[r >= 0]] for r in nbr]})
 
-    lists = members.groupBy("dim", "shard", "block").applyInPandas(build, "id bigint, nbrs array<bigint>")
-    # at most DEGREE neighbours from each of a vector's few shards
+    lists = _paired(members).groupBy("dim", "shard", "lo", "hi").applyInPandas(build, "id bigint, nbrs array<bigint>")
+    # at most DEGREE neighbours from each of a vector's few shards and their blocks
     return lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
 
 
-def _search(members: DataFrame, graph: DataFrame, limit: float) -> DataFrame:
-    """(id, n_links, root): for every vector and shard, the links that count there."""
+def _search(members: DataFrame, graph: DataFrame | None, limit: float) -> DataFrame:
+    """(id, n_links, root): for every vector and shard, the links that count there; without a graph, of all."""
+    compared = graph is None
 
     def search(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id", kind="stable")
         ids, n, block = p["id"].to_numpy(), p["n"].to_numpy(), p["block"].to_numpy()
         x = unit(p["v"].tolist())
-        sims = x @ x.T
-        linked = range_search(sims, _united(p["nbrs"].tolist(), ids), limit, seed=int(key[1]))
-        linked |= linked.T
-        np.fill_diagonal(linked, False)
+        if compared:
+            a, b = all_in_range(x, limit)
+        else:
+            a, b = range_search(x, _united(p["nbrs"].tolist(), ids), limit, seed=int(key[1]) % 1_000_003)
         if key[2] != key[3]:
-            linked &= block[:, None] != block[None, :]
+            apart = block[a] != block[b]
+            a, b = a[apart], b[apart]
         # count a link only in the first shard that both have
-        a, b = np.nonzero(linked)
         homes = p["homes"].tolist()
         if len(a):
             wide = max(map(len, homes))
@@ -226,19 +320,20 @@ def _search(members: DataFrame, graph: DataFrame, limit: float) -> DataFrame:
             root = lower
         return pd.DataFrame({"id": ids, "n_links": count, "root": ids[root]})
 
-    known = members.join(graph, "id")
-    pairs = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
-        {"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}
-    )
-    return pairs.groupBy("dim", "shard", "lo", "hi").applyInPandas(search, "id bigint, n_links bigint, root bigint")
+    known = members if graph is None else members.join(graph, "id")
+    return _paired(known).groupBy("dim", "shard", "lo", "hi").applyInPandas(search, "id bigint, n_links bigint, root bigint")
+
 
+def _audit(classes: DataFrame, counts: DataFrame, limit: float) -> float | None:
+    """The share of the links of some vectors, found by brute force over all rows, that are counted.
 
-def _audit(classes: DataFrame, counts: DataFrame, limit: float) -> float:
-    """The share of the links of some vectors, found by brute force over all rows, that are counted."""
-    sample = classes.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(AUDIT_ROWS)
-    rows = sample.join(counts, "id", "left").select("id", "v", "n", "n_links").toPandas()
+    Some of all vectors and some of those with counted links are audited. None: they have no link.
+    """
+    known = classes.join(counts, "id", "left").select("id", "v", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    order = F.xxhash64(F.lit(5), "id"), F.col("id")
+    rows = pd.concat([known.orderBy(*order).limit(AUDIT_ROWS).toPandas(), known.where("n_links > 0").orderBy(*order).limit(AUDIT_ROWS).toPandas()]).drop_duplicates("id")
     if rows.empty:
-        return 1.0
+        return None
     by_dim = {d: (r["id"].to_numpy(), unit(r["v"].tolist())) for d, r in rows.groupby(rows["v"].map(len))}
 
     def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,12 +345,13 @@ def _audit(classes: DataFrame, counts: DataFrame, limit: float) -> float:
                     near = (unit(some["v"].tolist()) @ q.T >= limit) & (some["id"].to_numpy()[:, None] != ids)
                     for i, c in zip(ids, some["n"].to_numpy() @ near, strict=True):
                         total[int(i)] = total.get(int(i), 0) + int(c)
-        yield pd.DataFrame({"id": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"id": list(total), "n": list(total.values())}, dtype="int64")
 
     true = classes.mapInPandas(brute, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("true")).toPandas()
-    both = rows.merge(true, "left", "id").fillna({"n_links": 0, "true": 0})
+    both = rows.merge(true, "left", "id").fillna({"true": 0})
     whole = both["true"].sum()
-    return float(both[["n_links", "true"]].min(axis=1).sum() / whole) if whole else 1.0
+    return float(both[["n_links", "true"]].min(axis=1).sum() / whole) if whole else None
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", limit: float = COSINE, overlaps: tuple[int, ...] = OVERLAPS) -> DataFrame:
@@ -264,35 +360,47 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     Equal vectors are one class with a count, so a great many copies cost no more than one. Vectors
     that are null, zero or hold null or non-finite components, and vectors with a null id, link with
     nothing; vectors of different dimensions don't link. An id that repeats with the same vector is
-    one vector. Empty tables give empty results.
+    one vector; with different ones, each of its rows has the links of its own vector. Empty tables
+    give empty results. ``audit_recall`` is null where no audited vector has a link, and 1 where all
+    were compared because the audits fell short of ``TARGET_RECALL``.
     """
     base = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     good = base.where(F.col("id").isNotNull() & usable(F.col("v")))
     classes = cut(good.groupBy("v").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")).select("id", "n", "v"))
     total = classes.count()
+    # ids that name several vectors: a number of its own for each class keeps them apart
+    classes = cut(classes.withColumns({"own": F.col("id"), "id": F.xxhash64("v")}))
     share = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000_007)) / 1_000_000_007.0
     sample = classes.where(share < SAMPLE_ROWS / max(total, 1)).orderBy("id").select("v").toPandas()["v"]
-    recall = 1.0
+    recall: float | None = 1.0 if total < 2 else None
+    narrow = classes.select("id", "n", "v")
     counts = classes.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("root"))
     for overlap in overlaps if total > 1 else ():
-        wanted = max(1, min(CLUSTERS, total * overlap // SHARD_ROWS))
-        centres = {d: cluster_centres(unit(v.tolist()), wanted) for d, v in sample.groupby(sample.map(len))}
-        members = cut(_shards(classes, centres, overlap))
+        wanted = max(1, total * overlap // SHARD_ROWS)
+        levels = {d: fit_levels(unit(v.tolist()), wanted) for d, v in sample.groupby(sample.map(len))}
+        members = cut(_shards(narrow, levels, overlap))
         counts = cut(_search(members, cut(_build(members)), limit))
         found = counts.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-        recall = _audit(classes, found, limit)
-        LOG.info("embedding near-duplicates: overlap %s, audited recall %.4f", overlap, recall)
-        if recall >= TARGET_RECALL:
+        recall = _audit(narrow, found, limit)
+        LOG.info("embedding near-duplicates: overlap %s, audited recall %s", overlap, recall)
+        if recall is None or recall >= TARGET_RECALL:
             break
+    else:
+        if total > 1:
+            LOG.warning("embedding near-duplicates: audited recall %s is too low, all blocks are compared", recall)
+            counts, recall = cut(_search(_shards(narrow, {}, 1), None, limit)), 1.0
     edges = counts.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     linked = counts.groupBy("id").agg(F.sum("n_links").alias("links"))
     named = (
         classes.join(linked, "id").join(connected_groups(edges), "id", "left")
-        .select(F.col("v").alias("_v"), (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+        .select(F.col("v").alias("_v"), (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("group"), "own")
     )
+    # classes are known by hashes; a component's name is its smallest vector id
+    names = named.groupBy("group").agg(F.min("own").alias("component_id"))
+    named = named.join(names, "group").select("_v", "n_links", "component_id")
     return base.join(named, (F.col("v") == F.col("_v")) & F.col("id").isNotNull() & usable(F.col("v")), "left").select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"), F.lit(recall).alias("audit_recall"),
+        F.coalesce("component_id", "id").alias("component_id"), F.lit(recall).cast("double").alias("audit_recall"),
     )
 
 

@@ -410,15 +410,19 @@ def to_tensor(media: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(
     T.StructType().add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long")
     .add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
+    .add("height", "integer").add("width", "integer").add("rgb", "binary")
 )
 def media_digest(media: pd.Series) -> pd.DataFrame:
-    """What the stored bytes hold once read back; one image at a time is in memory."""
+    """What the stored bytes hold once read back, with the full-resolution tensor (height x width x 3 bytes)."""
     rows = []
     for m in media:
         frame = read_coefficients(m)
-        p = payload_of(frame)
-        rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(rgb_of(frame))))
-    return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        p, rgb = payload_of(frame), rgb_of(frame)
+        rows.append((
+            len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(rgb),
+            *rgb.shape[:2], rgb.tobytes(),
+        ))
+    return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb"])
 
 
 def store_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -427,6 +431,7 @@ def store_media(docs: DataFrame, text: str = "text", media: str = "media") -> Da
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of each text's stored JPEG, and its tensor as columns; nulls and empty texts give 64 zero bytes' image, repeated rows equal rows, an empty table none."""
     stored = store_media(documents(spark, sf_dir).select("doc_id", "text"))
     return stored.withColumn("d", media_digest("media")).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "d.*"
