@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine, batch_search, shard_of
+from .functions.analyzers import STOPWORDS, analyzer
 from .operators.scoring import Similarity
 from .schema import DYNAMIC, Field, Schema, schema_of
 from .sources.changes import apply_changes, update, upsert
 from .sources.json_docs import dynamic_map, parse_documents, parse_requests
-from .sources.modes import size_index, time_index
+from .sources.modes import HotSwap, MultiTable, size_index, time_index
 from .streaming.ingest import StreamTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,6 +369,11 @@ def _snippet(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["snippet"] = _snippet
+_mark = r"(?i)\b(licensed|idiot)\b"
+SQL["snippet"] = rf"""
+SELECT doc_id::VARCHAR AS id, rtrim(array_to_string(list_transform(held, lambda s: regexp_replace(s, '{_mark}', '<b>\1</b>', 'g')), ''), ' ') AS snippet
+FROM (SELECT doc_id, list_slice(list_filter(regexp_extract_all(text, '[^.!?。！？]+[.!?。！？]*\s*'), lambda s: regexp_matches(s, '{_mark}')), 1, 10) AS held FROM documents
+      WHERE list_has_any(regexp_extract_all(lower(text), '[a-z0-9]+'), ['licensed', 'idiot']))"""
 
 
 def _source(spark: SparkSession, d: str) -> DataFrame:
@@ -490,6 +496,68 @@ QUERIES["json_envelopes"] = _envelopes
 SQL["json_envelopes"] = "SELECT CASE WHEN p_size % 2 = 0 THEN 'INDEX' ELSE 'REPLACE' END AS kind, p_partkey::VARCHAR AS id, p_name, p_size, p_retailprice FROM part"
 
 
+# --- filtered and flexible queries as filters, facets of the first rows, analyzers, tables by name ---
+
+_scored("score_filtered", "SELECT * BY QUERY IS 'text:(idiot this)' WHERE n_chars > 2000", _score_sql(["idiot", "this"], _sq(1, 1), "c0 + c1", f"({_any2}) AND n_chars > 2000"))
+_scored("flex_as_filter", "SELECT * WHERE FLEXIBLE_QUERY IS 'idiot this' FULL_MATCH IN (text) USING MODEL m BEGIN return 7f; END", _score_sql(["idiot", "this"], "1", "1.0", "f0 > 0 AND f1 > 0"))
+_facet("facet_in_top", _orders, "SELECT * WHERE o_orderstatus = 'F' BROWSE BY day(10) IN TOP 50", [(f"(SELECT *, row_number() OVER (PARTITION BY shard ORDER BY o_orderkey) AS k FROM {SHARDED} WHERE o_orderstatus = 'F')", "day", "", 0, "k <= 50", 10)])
+
+
+def _analyzed(name: str, table: str, key: str, column: str, kind: str, sql: str) -> None:
+    """All tokens of a column, counted by text and token."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        rows = spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).cast("string").alias("id"), F.explode(analyzer(kind).kept(F.col(column))).alias("token"))
+        return rows.groupBy("id", "token").agg(F.count("*").alias("n"))
+
+    QUERIES[name] = query
+    SQL[name] = f"SELECT id, token, count(*) AS n FROM (SELECT {key}::VARCHAR AS id, unnest({sql}) AS token FROM {table}) GROUP BY ALL"
+
+
+_stop = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+_analyzed("analyze_standard", "documents", "doc_id", "text", "standard", rf"list_filter(regexp_extract_all(lower(text), '[\pL\pN]+([''’._][\pL\pN]+)*'), lambda t: NOT list_contains({_stop}, t))")
+_analyzed("analyze_whitespace", "part", "p_partkey", "p_name", "whitespace", "string_split(p_name, ' ')")
+
+
+def _delimited(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat("p_brand", F.lit("-the_wifi"), "p_size", F.lit("Of"), F.initcap("p_type"), F.lit("HTTPServer"))
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("id"), F.explode(analyzer("word_delimiter").kept(text)).alias("token"))
+    return rows.groupBy("id", "token").agg(F.count("*").alias("n"))
+
+
+QUERIES["analyze_word_delimiter"] = _delimited
+SQL["analyze_word_delimiter"] = """SELECT id, token, count(*) AS n FROM (
+  SELECT p_partkey::VARCHAR AS id, unnest([lower(string_split(p_brand, '#')[1]), string_split(p_brand, '#')[2], 'wifi', p_size::VARCHAR, lower(p_type), 'http', 'server']) AS token FROM part) GROUP BY ALL"""
+
+
+def _by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Events in a table for each day, the last three days live, the newest of them deleted by name."""
+    rows = _events(spark, d).select(F.col("event_id").cast("string").alias("id"), "event_type", time_index(F.col("ts"), "DAY").alias("index"))
+    tables = MultiTable("id", max_live=3)
+    names = tables.add(rows)
+    tables.delete_index(names[-1])
+    return Engine(Schema("id", (Field("event_type"),)), tables.tables).search("SELECT * WHERE event_type <> 'error'").matched.select("id", "event_type")
+
+
+QUERIES["multi_table"] = _by_day
+SQL["multi_table"] = """WITH days AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events ORDER BY day DESC LIMIT 3)
+SELECT event_id::VARCHAR AS id, event_type FROM events
+WHERE strftime(ts, '%Y-%m-%d') IN (SELECT day FROM days) AND strftime(ts, '%Y-%m-%d') <> (SELECT max(day) FROM days) AND event_type IS DISTINCT FROM 'error'"""
+
+
+def _swapped(spark: SparkSession, d: str) -> DataFrame:
+    rows = _events(spark, d).select(F.col("event_id").cast("string").alias("id"), "event_type")
+    table = HotSwap("live", rows.where("event_type = 'click'"))
+    for k in (1, 2):
+        table.index(f"next_{k}", rows.where(F.col("id").cast("long") % 3 == k))
+    table.swap("next_2")
+    table.index("live", rows.where(F.col("id").cast("long") % 3 == 0))
+    return Engine(Schema("id", (Field("event_type"),)), table.live).search("SELECT * WHERE event_type <> 'view'").matched.select("id", "event_type")
+
+
+QUERIES["hot_swap"] = _swapped
+SQL["hot_swap"] = "SELECT event_id::VARCHAR AS id, event_type FROM events WHERE event_id % 3 IN (0, 2) AND event_type IS DISTINCT FROM 'view'"
+
 # --- streams -----------------------------------------------------------------------------------
 
 EVENTS = Schema("id", (Field("event_type"), Field("value", "double")))
