@@ -11,7 +11,7 @@ group, its first occurrence stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,11 +29,13 @@ DISTANCE = 24
 #: Parts of a long line's words; a short line has half as many and meets on pairs of them.
 PARTS = 8
 #: Lines of so many words at least meet on single blocks, and up to so many on pairs; between them both.
-LONG, SHORT = 20, 44
+LONG, SHORT = 26, 38
 #: Words and letters that blocks need to be met on: fewer tell nothing ("of the").
 LONG_WORDS, LONG_LETTERS, SHORT_WORDS, SHORT_LETTERS = 3, 15, 2, 8
 #: In lines of up to so many words, blocks of so many letters will do.
 TINY, TINY_LETTERS = 9, 4
+#: The numbers of lines to remove are broadcast to the texts up to this size, else joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Bytes of lines that are hashed at once.
 CHUNK = 1 << 19
 
@@ -55,10 +57,19 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers; those up to a chunk's bytes are kept."""
+    kept = POWERS.get(int(base))
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, CHUNK + 1), base, np.uint64)
+        kept[:1] = 1
+        kept = np.multiply.accumulate(kept)
+        if len(kept) <= CHUNK + 1:
+            POWERS[int(base)] = kept
+    return kept[:n]
 
 
 class _Lines:
@@ -150,7 +161,8 @@ def blocks(words: np.ndarray, letters: np.ndarray, counts: np.ndarray) -> tuple[
     lines = len(counts)
     # sorted by line, then hash: 16, 44 and 4 bits
     each = np.repeat(np.arange(lines, dtype=np.uint64), counts) << np.uint64(48) | words >> np.uint64(20) << np.uint64(4)
-    each = np.unique(each | np.minimum(letters, 15).astype(np.uint64))
+    each = np.sort(each | np.minimum(letters, 15).astype(np.uint64))
+    each = each[np.concatenate([[True], each[1:] != each[:-1]])] if len(each) else each
     line, letters = (each >> np.uint64(48)).astype(np.int64), (each & np.uint64(15)).astype(np.int64)
     words = _mix(each >> np.uint64(4) & np.uint64((1 << 44) - 1))
     part = (words >> np.uint64(61)).astype(np.uint8)
@@ -217,17 +229,25 @@ def line_digests(each: DataFrame, words: int) -> DataFrame:
     return each.mapInArrow(digests, "id bigint, no int, h bigint, g bigint, s bigint, keys array<bigint>")
 
 
+def _shared(a: str, b: str, most: int, part: Callable[[str, int, int], str]) -> int:
+    """How many first (or last, as ``part`` counts them) signs of the two are equal, by halving."""
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        if part(a, low, middle) == part(b, low, middle):
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
     """Levenshtein's distance, a column of the table as the bits of two whole numbers (Myers).
 
     If it is over ``most``, some number over ``most`` will do.
     """
-    start, least = 0, min(len(a), len(b))
-    while start < least and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < least - start and a[-1 - end] == b[-1 - end]:
-        end += 1
+    start = _shared(a, b, min(len(a), len(b)), lambda x, i, j: x[i:j])
+    end = _shared(a, b, min(len(a), len(b)) - start, lambda x, i, j: x[len(x) - j : len(x) - i])
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return len(a) + len(b)
@@ -285,7 +305,7 @@ def repeated_lines(docs: DataFrame, key: str, text: str, words: int, distance: i
     # hardly any key is shared by different lines: a first pass names those, combined per task
     shared_keys = cut(met.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("b"))
     release(spark)
-    buckets = met.join(small(shared_keys), "b").select("b", "id").distinct()
+    buckets = cut(met.join(small(shared_keys), "b").select("b", "id").distinct())
 
     def said(shared: DataFrame) -> DataFrame:
         """(id, s, t) of the lines that share a key: their normal words, read once more from their documents."""
@@ -322,9 +342,23 @@ def repeated_lines(docs: DataFrame, key: str, text: str, words: int, distance: i
         (i, s, t), (j, z, y) = ([table.column(c) for c in ("id", "s", "t")] for table in (asking, asked))
         near = may & (np.bitwise_count(s.to_numpy().view(np.uint64)[:, None] ^ z.to_numpy().view(np.uint64)) <= distance)
         i, t, j, y = (c.to_pylist() for c in (i, t, j, y))
-        return [(i[n], j[k]) for n, k in zip(*(x.tolist() for x in np.nonzero(near))) if within(t[n], y[k], most_edits(len(t[n]), len(y[k]), similarity))]
-
-    roots = connected_groups(link_buckets(buckets, verify, compare, said)).withColumnRenamed("id", "h")
+        one, two = asking.column("root").to_pylist(), asked.column("root").to_pylist()
+        found, joined = [], {}
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        for n, k in zip(*(x.tolist() for x in np.nonzero(near))):
+            # links already found may have connected the two
+            p, q = root(one[n]), root(two[k])
+            if p != q and within(t[n], y[k], most_edits(len(t[n]), len(y[k]), similarity)):
+                found.append((i[n], j[k]))
+                joined[max(p, q)] = min(p, q)
+        return found
+
+    roots = connected_groups(link_buckets(buckets, verify, compare, said, rounds=2)).withColumnRenamed("id", "h")
     # equal lines have both hashes in common, linked ones their root
     named = lines.select("id", "no", "h", "g").join(small(cut(roots)), "h", "left").select(
         "id", "no", F.coalesce("root", "h").alias("root"), F.when(F.col("root").isNull(), F.col("g")).otherwise(F.lit(0)).alias("g")
@@ -350,7 +384,9 @@ def dedup_lines(
     gone = cut(repeated.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone")))  # of one document
     release(docs.sparkSession)
     rows = docs.select(whole_rows(docs, "removed_lines"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    joined = rows.join(gone, F.col("key") == F.col("id"), "left")
+    count, numbers = gone.agg(F.count("*"), F.sum(F.size("gone"))).first()
+    few = F.broadcast(gone) if 32 * count + 4 * (numbers or 0) <= BROADCAST_BYTES else gone
+    joined = rows.join(few, F.col("key") == F.col("id"), "left")
     stays = F.filter(
         F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()
     )

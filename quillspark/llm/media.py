@@ -12,9 +12,11 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -407,22 +409,51 @@ def to_tensor(media: pd.Series) -> pd.DataFrame:
     })
 
 
-@F.pandas_udf(
-    T.StructType().add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long")
-    .add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
-    .add("height", "integer").add("width", "integer").add("rgb", "binary")
+#: Bytes of tensors that a worker holds before it hands them on; a larger one goes alone.
+HELD_BYTES = 8 << 20
+DIGEST = (
+    "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, "
+    "height int, width int, rgb binary"
 )
-def media_digest(media: pd.Series) -> pd.DataFrame:
-    """What the stored bytes hold once read back, with the full-resolution tensor (height x width x 3 bytes)."""
-    rows = []
-    for m in media:
-        frame = read_coefficients(m)
-        p, rgb = payload_of(frame), rgb_of(frame)
-        rows.append((
-            len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(rgb),
-            *rgb.shape[:2], rgb.tobytes(),
-        ))
-    return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb"])
+
+
+def digest(media: bytes) -> tuple:
+    """The columns of ``DIGEST``: what the stored bytes hold once read back, and their full-resolution tensor (height x width x 3 bytes)."""
+    frame = read_coefficients(media)
+    p, rgb = payload_of(frame), rgb_of(frame)
+    return (
+        len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(rgb),
+        *rgb.shape[:2], rgb.tobytes(),
+    )
+
+
+def tensors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, the columns of ``DIGEST``): each text stored as a progressive JPEG, read back and kept as a tensor.
+
+    A null text counts as empty and gives the image of 64 zero bytes; repeated rows give equal rows,
+    null keys stay, an empty table gives an empty result. A worker holds few tensors at once.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    names = ["key", "n_bytes", *(c.split()[0] for c in DIGEST.split(", "))]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, size = 0, [], 0
+            keys, texts = batch.column("key"), batch.column("text")
+            for i in range(len(texts)):
+                n, payload = padded(texts[i].as_py())
+                held.append((n, *digest(encode(payload))))
+                size += len(held[-1][-1])
+                if size >= HELD_BYTES or i == len(texts) - 1:
+                    columns = [keys.slice(start, len(held)), *(pa.array(list(c), t) for c, t in zip(zip(*held), TYPES, strict=True))]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    start, held, size = i + 1, [], 0
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(made, f"key {kind}, n_bytes bigint, {DIGEST}").withColumnRenamed("key", key)
+
+
+TYPES = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary())
 
 
 def store_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -431,11 +462,8 @@ def store_media(docs: DataFrame, text: str = "text", media: str = "media") -> Da
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of each text's stored JPEG, and its tensor as columns; nulls and empty texts give 64 zero bytes' image, repeated rows equal rows, an empty table none."""
-    stored = store_media(documents(spark, sf_dir).select("doc_id", "text"))
-    return stored.withColumn("d", media_digest("media")).select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "d.*"
-    )
+    """The digest and tensor of each text's stored JPEG."""
+    return tensors(documents(spark, sf_dir))
 
 
 ship(__name__)
