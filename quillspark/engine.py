@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,8 +25,9 @@ from .operators.scoring import Scorer, Similarity, Statistics, collect_statistic
 from .operators.snippet import snippet
 from .plans import nodes as N
 from .plans.parser import parse
-from .schema import Schema
-
+from .schema import SPARK_TYPES, Field, Schema, type_name
+from .sources.changes import resolve_requests
+from .sources.json_docs import parse_documents, parse_requests
 
 
 class NoSuchIndex(ValueError):
@@ -55,6 +61,7 @@ class Engine:
     statistics: Statistics | None = None
     strict: bool = False
     cache_size: int = 0
+    cache_seconds: float = float("inf")
     _cache: OrderedDict = field(default_factory=OrderedDict)
 
     def rows(self, indexes: tuple[str, ...] = ()) -> DataFrame:
@@ -79,18 +86,55 @@ class Engine:
             return Result(self, statement)
         key = (statement, repr(sorted((params or {}).items())))
         if self.cache_size and key in self._cache:
-            self._cache.move_to_end(key)
-            return self._cache[key]
+            made, result = self._cache[key]
+            if time.monotonic() - made <= self.cache_seconds:
+                self._cache.move_to_end(key)
+                return result
         request = self.request(statement, params)
         if isinstance(request, N.Delete):
             raise ValueError("a DELETE statement goes to delete()")
         result = Result(self, request)
         if self.cache_size:
-            self._cache[key] = result
+            self._cache[key] = time.monotonic(), result
+            self._cache.move_to_end(key)
             while len(self._cache) > self.cache_size:
                 self._cache.popitem(last=False)
         return result
 
+    def index(self, content: str | list[str] | DataFrame) -> tuple[Engine, DataFrame]:
+        """Requests pushed in: (the engine with what they make of its table, failed updates (id, seq)).
+
+        ``content``: JSON text, several in order, or rows (value, seq). Of several tables, one is named.
+        Columns that the schema doesn't know are null in new rows.
+        """
+        if not isinstance(self.tables, DataFrame):
+            raise ValueError("requests go to a single table; several are kept by MultiTable or StreamTables")
+        table, key = self.tables, self.schema.id
+        if not isinstance(content, DataFrame):
+            said = [content] if isinstance(content, str) else content
+            content = table.sparkSession.createDataFrame([(t, i) for i, t in enumerate(said)], "value string, seq long")
+        requests = parse_requests(content)
+        put = requests.where(F.col("kind").isin("INDEX", "REPLACE", "UPDATE"))
+        docs = parse_documents(put.select("seq", "kind", F.col("content").alias("value")), self.schema, keep=("seq", "kind"))
+        gone = requests.where("kind = 'DELETE'").select("seq", "kind", F.col("id").alias(key))
+        log = docs.unionByName(gone, allowMissingColumns=True)
+        own = [(F.col(f"`{f.name}`") if f.name in log.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema]
+        done, failed = resolve_requests(table, log.select("seq", "kind", *own), key, gone="__gone")
+        rows = table.join(done.select(key), key, "left_anti").select(*table.columns).unionByName(done.where("NOT __gone").drop("__gone"))
+        return replace(self, tables=rows, _cache=OrderedDict()), failed
+
+    def with_value(self, name: str, make: Callable[[DataFrame], Column], kind: str = "double") -> Engine:
+        """The engine with one more field, worked out once for each row and kept for score models to read.
+
+        The column is persisted with its table, so many searches compute it once.
+        """
+        def own(rows: DataFrame) -> DataFrame:
+            return rows.withColumn(name, make(rows).cast(SPARK_TYPES[type_name(kind)])).persist(StorageLevel.DISK_ONLY)
+
+        tables = own(self.tables) if isinstance(self.tables, DataFrame) else {n: own(t) for n, t in self.tables.items()}
+        schema = replace(self.schema, fields=(*self.schema.fields, Field(name, type_name(kind), stored=False)))
+        return replace(self, schema=schema, tables=tables, _cache=OrderedDict())
+
     def delete(self, statement: str, params: dict[str, Any] | None = None) -> DataFrame:
         """The rows that stay. Without WHERE none do."""
         request = self.request(statement, params)
@@ -254,6 +298,31 @@ class Result:
         page = page.offset(self.request.offset) if self.request.offset else page
         return self.shape(page.limit(self.request.limit))
 
+    def within(self, seconds: float) -> list[Row]:
+        """The page's rows, unless it takes longer: then the search is cancelled and TimeoutError raised.
+
+        A search of many tasks has no part of its page before it ends, so nothing is returned in part.
+        """
+        context, tag, late = self.engine.rows(self.request.indexes).sparkSession.sparkContext, f"search-{uuid.uuid4().hex}", threading.Event()
+
+        def cancel() -> None:
+            late.set()
+            context.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(seconds, cancel)
+        context.addJobTag(tag)
+        timer.start()
+        try:
+            rows = self.hits.collect()  # one page
+        except Exception as e:
+            if late.is_set():
+                raise TimeoutError(f"no page within {seconds} s") from e
+            raise
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
+        return rows
+
     @cached_property
     def groups(self) -> DataFrame:
         """Rows of the page's groups: group_value, group_rank (1..), hit_rank (1..) and the hit.

@@ -38,7 +38,8 @@ def drill_predicates(drills: tuple[tuple[Field, tuple[str, ...]], ...]) -> dict[
 def facet_counts(rows: DataFrame, facet: Facet) -> DataFrame:
     """(dim, path, value, child_count, label, label_value, rank), best labels first.
 
-    A row counts once for each different child. Labels are counted with a partial aggregate; only the
+    A row counts once for each different child. The value is the sum of all labels' counts, of a field
+    with several values that of the labels returned. Labels are counted with a partial aggregate; only the
     top ones are sorted. A leaf or a path that isn't there gives one row of value and child count 0 without a
     label.
     """
@@ -52,6 +53,8 @@ def facet_counts(rows: DataFrame, facet: Facet) -> DataFrame:
     dim = F.lit(facet.field.name)
     whole = counts.agg(F.coalesce(F.sum("label_value"), F.lit(0)).cast("bigint").alias("value"), F.count("*").alias("child_count")).withColumn("dim", dim)
     best = counts.orderBy(F.desc("label_value"), "label").limit(facet.top)
+    if facet.field.multi:
+        whole = whole.drop("value").crossJoin(best.agg(F.coalesce(F.sum("label_value"), F.lit(0)).cast("bigint").alias("value")))  # one row each
     numbered = best.withColumn("dim", dim).withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("label_value"), "label")))
     return whole.join(numbered, "dim", "left").select(
         "dim", F.lit("/".join(facet.path)).alias("path"), "value", "child_count", "label", "label_value", F.col("rank").cast("bigint").alias("rank")

@@ -7,10 +7,12 @@ columns become ``when``. What lies outside the subset is a compile error that na
 
 from __future__ import annotations
 
+import importlib
 import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import Column
@@ -39,6 +41,30 @@ def register_score_model(name: str, make: Callable[[Any], Column]) -> None:
     MODELS[name] = make
 
 
+def plugin(name: str, reload: bool) -> Callable[[Any], Column]:
+    """The model registered under a name, else the one that ``module.function`` names.
+
+    A module is imported once; OVERRIDE imports it anew.
+    """
+    module, dot, function = name.rpartition(".")
+    if name in MODELS and not (reload and name in _LOADED):
+        return MODELS[name]
+    if not dot:
+        raise ScoreCodeError(f"no score model is registered as {name!r}")
+    try:
+        found = importlib.import_module(module)
+        if reload:
+            found = importlib.reload(found)
+        MODELS[name] = getattr(found, function)
+    except (ImportError, AttributeError) as e:
+        raise ScoreCodeError(f"no score model is registered as {name!r}") from e
+    _LOADED.add(name)
+    return MODELS[name]
+
+
+_LOADED: set[str] = set()
+
+
 class ScoreCodeError(ValueError):
     pass
 
@@ -828,19 +854,23 @@ def _parameters(model: ScoreModel) -> dict[str, V]:
     return out
 
 
+@lru_cache(maxsize=512)
+def statements(code: str) -> tuple:
+    """Score code, read once: what it says depends on nothing but its text."""
+    reader, body = _Reader(code), []
+    while reader.s[reader.i][0] != "end":
+        body.append(reader.statement())
+    return tuple(body)
+
+
 def run_model(model: ScoreModel, schema: Schema, matrix, score: Column | None, distance: Column | None) -> tuple[Column, Column | None]:
     """(score column, explanation column or None)."""
     if model.plugin or model.code is None:
-        if model.name not in MODELS:
-            raise ScoreCodeError(f"no score model is registered as {model.name!r}")
         context = {"schema": schema, "matrix": matrix, "score": score, "distance": distance, "params": {n: v for _, n, v in model.params}}
-        return MODELS[model.name](context).cast("double"), None
-    body = []
-    reader = _Reader(model.code)
-    while reader.s[reader.i][0] != "end":
-        body.append(reader.statement())
+        return plugin(model.name, model.override)(context).cast("double"), None
+    body = statements(model.code)
     c = _Compiler(schema, matrix, score, distance, _parameters(model))
-    c.run(body, YES)
+    c.run(list(body), YES)
     if c.result is None:
         raise ScoreCodeError("score code: nothing is returned")
     told = None

@@ -332,7 +332,7 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["facet_multi_value"] = _words
 SQL["facet_multi_value"] = f"""WITH c AS (SELECT label, count(*) AS label_value FROM (SELECT DISTINCT p_partkey, unnest(p_words) AS label FROM {PART} WHERE p_size > 20) GROUP BY 1)
-SELECT 'words' AS dim, '' AS path, (SELECT sum(label_value) FROM c)::BIGINT AS value, (SELECT count(*) FROM c) AS child_count, label, label_value,
+SELECT 'words' AS dim, '' AS path, (SELECT sum(label_value) FROM (SELECT label_value FROM c ORDER BY label_value DESC, label LIMIT 8))::BIGINT AS value, (SELECT count(*) FROM c) AS child_count, label, label_value,
        row_number() OVER (ORDER BY label_value DESC, label) AS rank FROM c QUALIFY rank <= 8"""
 
 
@@ -596,6 +596,32 @@ upd AS (SELECT l.id, arg_max(l.value, l.seq) AS value FROM log l JOIN base b ON
 SELECT put.id, event_type, coalesce(upd.value, put.value) AS value FROM put LEFT JOIN upd ON put.id = upd.id"""
 
 
+def _pushed(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with some requests pushed to them: one replaced, one updated, one deleted, one new."""
+    requests = ["""{"type": "replace", "content": {"p_partkey": "1", "p_name": "steel bolt", "p_size": 5}}""", """{"type": "update", "content": {"p_partkey": "2", "p_size": 49}}""",
+                """{"type": "delete", "id": "3"}""", """{"p_partkey": "999999", "p_name": "tin bolt", "p_size": 7}"""]
+    part = spark.read.parquet(f"{d}/part.parquet")
+    engine, failed = Engine(schema_of(part, "p_partkey", ("p_name",)), part).index(requests)
+    return engine.search("SELECT * WHERE p_name = 'bolt'").matched.select(F.col("p_partkey").cast("string").alias("id"), "p_name", "p_size", "p_type")
+
+
+QUERIES["push_ingest"] = _pushed
+SQL["push_ingest"] = """SELECT p_partkey::VARCHAR AS id, p_name, p_size, p_type FROM (
+  SELECT p_partkey, p_name, CASE WHEN p_partkey = 2 THEN 49 ELSE p_size END AS p_size, p_type FROM part WHERE p_partkey NOT IN (1, 3)
+  UNION ALL SELECT 1, 'steel bolt', 5, NULL UNION ALL SELECT 999999, 'tin bolt', 7, NULL) WHERE list_contains(string_split(p_name, ' '), 'bolt')"""
+
+
+def _cached_value(spark: SparkSession, d: str) -> DataFrame:
+    """A score model that reads a value worked out once for each row."""
+    engine = _part(spark, d).with_value("value_per_size", lambda rows: F.col("p_retailprice") / F.col("p_size"), "double")
+    found = engine.search("SELECT * WHERE p_size > 30 USING SCORE MODEL m BEGIN return 2 * value_per_size(); END")
+    return found.scored.select(F.col("p_partkey").cast("string").alias("id"), F.round("__score", 6).alias("score"))
+
+
+QUERIES["model_cached_value"] = _cached_value
+SQL["model_cached_value"] = "SELECT p_partkey::VARCHAR AS id, round(2 * p_retailprice / p_size, 6) AS score FROM part WHERE p_size > 30"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One statement with a filter, an order and a page."""
     return _part(spark, sf_dir).search("SELECT p_name FROM part WHERE p_retailprice < 1000 AND p_brand = 'Brand#4' ORDER BY p_retailprice ASC LIMIT 0, 10 SOURCE").hits

@@ -1,6 +1,11 @@
-"""Expected values of small collections: predicates, missing values, scores, facets, buckets, groups."""
+"""Expected values of small collections: predicates, missing values, scores, facets, buckets, groups.
+
+The rows, statements and expected counts and scores in the tables of this file are fixed values that
+results must equal.
+"""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,7 +151,8 @@ def test_facets(books):
     row = found.facets.where("dim = 'Author'").first()
     assert (row["value"], row["child_count"]) == (11, 4)
     assert labels(books.search("SELECT * BROWSE BY PublishDate(10, '2010')"), "PublishDate") == {"10": 3, "11": 1}
-    assert books.search("SELECT * BROWSE BY PublishDate(10, '2010/10/15')").facets.count() == 0
+    leaf = books.search("SELECT * BROWSE BY PublishDate(10, '2010/10/15')").facets.collect()
+    assert [(r["value"], r["child_count"], r["label"]) for r in leaf] == [(0, 0, None)]
 
 
 def test_drill_down_and_sideways(books):
@@ -205,3 +211,42 @@ def test_schema_rules():
         Field("x", doc_values=True, multi=True)
     with pytest.raises(SchemaError):
         load_xml("<table><id>a</id><column name='x' index='maybe'/></table>")
+
+
+def test_a_search_that_takes_too_long_is_cancelled(spark, core):
+    e = Engine(CORE, core.tables)
+    assert len(e.search("SELECT * WHERE cat1 > 1").within(60)) == 3
+    slow = spark.range(1, 200_000_000, 1, 4).select(F.col("id").cast("string").alias("id"), F.sha2(F.sha2(F.col("id").cast("string"), 512), 512).alias("title"))
+    with pytest.raises(TimeoutError):
+        Engine(Schema("id", (Field("title"),)), slow).search("SELECT * WHERE title LIKE 'ffff*' ORDER BY title").within(1.5)
+    assert len(e.search("SELECT * WHERE cat1 > 1").within(60)) == 3
+
+
+def test_results_are_kept_for_a_while(core):
+    e = Engine(CORE, core.tables, cache_size=2, cache_seconds=0.2)
+    one = e.search("SELECT * WHERE cat1 = 1")
+    assert e.search("SELECT * WHERE cat1 = 1") is one
+    time.sleep(0.3)
+    assert e.search("SELECT * WHERE cat1 = 1") is not one
+
+
+def test_plugins_by_module_and_override(core, tmp_path, monkeypatch):
+    monkeypatch.syspath_prepend(str(tmp_path))
+    source = tmp_path / "own_models.py"
+    source.write_text("from pyspark.sql import functions as F\ndef sized(context):\n    return F.lit(3.0)\n")
+    e = Engine(CORE, core.tables)
+    say = lambda how: {r["score"] for r in e.search(f"SELECT * USING SCORE MODEL {how} own_models.sized").hits.collect()}
+    assert say("PLUGIN") == {3.0}
+    source.write_text("from pyspark.sql import functions as F\ndef sized(context):\n    return F.lit(44.0)\n")
+    assert say("PLUGIN") == {3.0} and say("PLUGIN OVERRIDE") == {44.0} == say("PLUGIN")
+    with pytest.raises(ScoreCodeError):
+        e.search("SELECT * USING SCORE MODEL PLUGIN OVERRIDE own_models.nothing").hits.collect()
+
+
+def test_pushed_requests_and_values_worked_out_once(core):
+    e, failed = Engine(CORE, core.tables).index(['{"id": "9", "title": "lucene 9", "cat1": 3}', '{"type": "update", "content": {"id": "1", "cat1": 8}}', '{"type": "delete", "id": "2"}', '{"type": "update", "content": {"id": "77", "cat1": 8}}'])
+    assert {r["id"]: r["cat1"] for r in e.search("SELECT * WHERE cat1 > 2").matched.collect()} == {"1": 8, "3": 3, "4": 4, "9": 3}
+    assert [r["id"] for r in failed.collect()] == ["77"]
+    e = e.with_value("double_cat", lambda rows: rows["cat1"] * 2, "integer")
+    got = e.search("SELECT * WHERE double_cat > 7 USING SCORE MODEL m BEGIN return double_cat() + 0.5; END").hits.collect()
+    assert {r["id"]: r["score"] for r in got} == {"1": 16.5, "4": 8.5}
