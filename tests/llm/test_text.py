@@ -17,7 +17,7 @@ from quillspark.llm import packing as P
 from quillspark.llm.common import connected_groups, link_buckets
 from quillspark.llm.embed_dedup import near_vectors
 from quillspark.llm.line_dedup import dedup_lines
-from quillspark.llm.toxicity import fit_isotonic, fit_toxicity, fit_trees, learn_lexicon, score_toxicity
+from quillspark.llm.toxicity import fit_isotonic, fit_toxicity, fit_trees, learn_lexicon, op6_toxicity, score_toxicity
 
 # --- packing ---
 
@@ -75,6 +75,25 @@ def test_odd_packing(odd_documents, no_documents):
     assert sum(r["piece"] == 0 for r in got) == odd_documents.count() and P.pack_documents(no_documents).count() == 0
 
 
+def test_registered_packing_against_the_tokenizer(spark, odd_documents, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    odd_documents.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, sizes = Counter(), []
+    for r in odd_documents.collect():
+        ids = np.array(tok.encode(r["text"] or "", add_special_tokens=False).ids + [0], "<u4")
+        first = (len(ids) - 1) % 2048 + 1
+        starts = [0, *range(first, len(ids), 2048)]
+        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+            want[r["doc_id"], k, a, b - a, crc32(ids[a:b].tobytes())] += 1
+            sizes.append(b - a)
+    got = P.op4_best_fit_packing(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    assert packed_well(got, 2048) == -(-sum(sizes) // 2048)
+
+
 # --- media ---
 
 
@@ -174,6 +193,23 @@ def test_more_tasks_than_labelled_rows(spark):
     assert learn_lexicon(df.where("toxic = 1").repartition(50).select("text", F.col("toxic").alias("label"))) == {}
 
 
+def test_registered_toxicity(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(i, prose(i, 30) + (f" you {r.choice(('utter', 'vile'))} nincompoop scoundrel" if i % 4 == 0 else "") if i % 50 else None) for i in range(800)]
+    labels = [(i, 0, int(i % 4 == 0 and bool(i % 50))) for i in range(800)]
+    for name, flip in (("one", False), ("two", True)):
+        d = tmp_path / name
+        spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(d / "documents.parquet"))
+        held = [(i, q, 1 - y if flip and crc32(str(i).encode()) % 4 == 2 else y) for i, q, y in labels]
+        spark.createDataFrame(held, "doc_id bigint, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+    got = {x["doc_id"]: x for x in op6_toxicity(spark, str(tmp_path / "one")).collect()}
+    assert len(got) == 800 and all(x["held_out"] == (crc32(str(i).encode()) % 4 == 2) and x["predicted"] == int(x["score"] >= 0.3) and 0 <= x["score"] <= 1 for i, x in got.items())
+    own = [i for i, x in got.items() if x["held_out"]]
+    assert sum(got[i]["predicted"] == labels[i][2] for i in own) >= 0.98 * len(own)
+    # labels that are held out change nothing
+    assert {x["doc_id"]: x for x in op6_toxicity(spark, str(tmp_path / "two")).collect()} == got
+
+
 # --- groups ---
 
 
@@ -271,6 +307,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert {x["doc_id"] for x in kept} == set(brute(texts).values())
 
 
+def test_registered_near_duplicates_against_brute_force(spark, tmp_path):
+    texts = near_copies() | {100_000: "", 100_001: None, 100_002: "too short", 100_003: "too short"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = H.op9_minhash_near_dedup(spark, str(tmp_path)).collect()
+    want = brute({i: t or "" for i, t in texts.items()})
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
 def test_odd_near_duplicates(odd_documents, no_documents):
     got = H.near_duplicates(odd_documents).collect()
     assert len(got) == odd_documents.count()
