@@ -366,7 +366,7 @@ def repeated_lines(docs: DataFrame, key: str, text: str, words: int, distance: i
     groups = cut(named.groupBy("root", "g").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").select("root", "g", "keep_id"))
     repeated = cut(named.join(small(groups), ["root", "g"]))
     first = repeated.where("id = keep_id").groupBy("root", "g").agg(F.min("no").alias("keep_no"))
-    return repeated.join(first, ["root", "g"]).where("id <> keep_id OR no <> keep_no").select("id", "no")
+    return repeated.join(small(cut(first)), ["root", "g"]).where("id <> keep_id OR no <> keep_no").select("id", "no")
 
 
 def dedup_lines(
