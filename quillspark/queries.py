@@ -527,7 +527,7 @@ def _delimited(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["analyze_word_delimiter"] = _delimited
 SQL["analyze_word_delimiter"] = """SELECT id, token, count(*) AS n FROM (
-  SELECT p_partkey::VARCHAR AS id, unnest([lower(string_split(p_brand, '#')[1]), string_split(p_brand, '#')[2], 'wifi', p_size::VARCHAR, lower(p_type), 'http', 'server']) AS token FROM part) GROUP BY ALL"""
+  SELECT p_partkey::VARCHAR AS id, unnest([lower(string_split(p_brand, '#')[1]), string_split(p_brand, '#')[2], 'wifi', p_size::VARCHAR, lower(p_type), 'httpserver']) AS token FROM part) GROUP BY ALL"""
 
 
 def _by_day(spark: SparkSession, d: str) -> DataFrame:
