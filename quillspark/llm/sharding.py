@@ -52,12 +52,13 @@ def shard_rows(
         "r", F.row_number().over(Window.partitionBy("s", "c").orderBy(*order)) - 1
     ).join(starts, ["s", "c"]).withColumn("r", F.col("r") + F.col("before"))
 
-    # how many rows stand before each bucket of the interleaved order follows from the sizes alone
+    # how many rows stand before each bucket of the interleaved order follows from the sizes alone;
+    # sources of one size count together, so very many small sources are few rows here
     bucket = F.expr(f"((2 * r + 1) * {cells}) div (2 * n)")
     first = (
-        sizes.select("n", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("b"))
+        sizes.groupBy("n").agg(F.count("*").alias("m")).select("n", "m", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("b"))
         .groupBy(F.col("b").cast("bigint").alias("b"))
-        .agg(F.sum(F.expr(f"if(b = 0, 0, ((2 * n * b - 1) div {cells} + 1) div 2)")).alias("first"))
+        .agg(F.sum(F.expr(f"m * if(b = 0, 0, ((2 * n * b - 1) div {cells} + 1) div 2)")).alias("first"))
     )
     place = F.row_number().over(Window.partitionBy("b").orderBy("f", "s", "r")) - 1
     placed = (
