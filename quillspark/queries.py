@@ -16,6 +16,7 @@ from .schema import DYNAMIC, Field, Schema, schema_of
 from .sources.changes import apply_changes, update, upsert
 from .sources.json_docs import dynamic_map, parse_documents, parse_requests
 from .sources.modes import HotSwap, MultiTable, size_index, time_index
+from .sources.postings import search_postings, write_postings
 from .streaming.ingest import StreamTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -575,8 +576,27 @@ def _requests(events: DataFrame) -> DataFrame:
     return events.where("user_id IS NOT NULL").select(value.alias("value"), F.col("event_id").alias("seq"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one; without one (local tests) a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    """A table's postings written once, then two searches of them."""
+    engine, folder = _documents(spark, d), _folder(spark, "postings")
+    write_postings(engine.tables, engine.schema, folder)
+    found = [search_postings(spark, folder, "text", words, engine.schema).withColumn("qid", F.lit(k)) for k, words in ((1, "idiot this"), (2, "licensed gnu"))]
+    return found[0].union(found[1]).select("qid", "id", F.round("score", 6).alias("score"))
+
+
+QUERIES["postings_search"] = _postings
+SQL["postings_search"] = f"""SELECT 1 AS qid, * FROM ({SQL["score_tfidf"]})
+UNION ALL SELECT 2 AS qid, * FROM ({_score_sql(["licensed", "gnu"], _sq(1, 1), "c0 + c1", _any2)})"""
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    folder = _folder(spark, "stream")
     table = StreamTable(spark, f"{folder}/table", EVENTS, compact=2)
     requests = _requests(spark.read.parquet(f"{d}/events.parquet"))
     low, high = requests.agg(F.min("seq"), F.max("seq")).first()
