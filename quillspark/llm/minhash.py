@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Compare, connected_groups, cut, documents, link_buckets, ship, whole_rows, worker_cache
+from .common import Compare, connected_groups, cut, documents, link_buckets, ship, slices, whole_rows, worker_cache
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -126,28 +126,47 @@ def _chunks(texts: list) -> Iterator[tuple[int, int]]:
 
 
 def digest_texts(words: int = WORDS, bands: int = BANDS, rows: int = ROWS):
-    """A pandas UDF: text -> (bag: two longs that name the multiset, bands: a long for each band);
+    """An Arrow UDF: text -> (bag: two longs that name the multiset, bands: a long for each band);
     null for texts without words."""
 
-    @F.pandas_udf("bag array<bigint>, bands array<bigint>")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def digests(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for a, b in _chunks(texts):
+            doc, key, count = _bags(texts[a:b], words)
+            sig = signatures(doc, key, count.astype(np.float64), b - a, bands * rows)
+            bits = sig.view(np.uint64).reshape(b - a, bands, rows)
+            code = np.broadcast_to(np.arange(bands, dtype=np.uint64), (b - a, bands)).copy()
+            for k in range(rows):
+                code = _mix(code * GOLDEN + bits[:, :, k])
+            both = _mix(key * GOLDEN + count.astype(np.uint64))
+            names = np.zeros((2, b - a), np.uint64)
+            np.add.at(names[0], doc, both)
+            np.add.at(names[1], doc, _mix(both ^ GOLDEN))
+            yield names.T, code, np.bincount(doc, minlength=b - a) > 0
+
+    def lists(rows_: np.ndarray, there: np.ndarray) -> pa.Array:
+        flat = rows_[there].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(there * rows_.shape[1])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.reshape(-1)), mask=pa.array(~there))
+
+    @F.arrow_udf("bag array<bigint>, bands array<bigint>")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import xxhash
+
         for batch in batches:
-            texts, out = batch.tolist(), []
-            for a, b in _chunks(texts):
-                doc, key, count = _bags(texts[a:b], words)
-                sig = signatures(doc, key, count.astype(np.float64), b - a, bands * rows)
-                bits = sig.view(np.uint64).reshape(b - a, bands, rows)
-                code = np.broadcast_to(np.arange(bands, dtype=np.uint64), (b - a, bands)).copy()
-                for k in range(rows):
-                    code = _mix(code * GOLDEN + bits[:, :, k])
-                both = _mix(key * GOLDEN + count.astype(np.uint64))
-                names = np.zeros((2, b - a), np.uint64)
-                np.add.at(names[0], doc, both)
-                np.add.at(names[1], doc, _mix(both ^ GOLDEN))
-                some = np.bincount(doc, minlength=b - a) > 0
-                names, code = names.astype(np.int64).T, code.astype(np.int64)
-                out += [(list(names[i]), list(code[i])) if some[i] else (None, None) for i in range(b - a)]
-            yield pd.DataFrame(out, columns=["bag", "bands"])
+            # equal texts of a batch are digested once
+            number: dict[bytes, int] = {}
+            each, made = [], [(np.zeros((0, 2), np.uint64), np.zeros((0, bands), np.uint64), np.zeros(0, bool))]
+            for some in slices(batch, 512):
+                new = []
+                for t in (t or "" for t in some):
+                    name = xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
+                    if name not in number:
+                        number[name] = len(number)
+                        new.append(t)
+                    each.append(number[name])
+                made += digests(new)
+            names, code, there = (np.concatenate(c)[each] if each else np.concatenate(c) for c in zip(*made))
+            yield pa.StructArray.from_arrays([lists(names, there), lists(code, there)], names=["bag", "bands"])
 
     return digest
 
@@ -254,6 +273,7 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", *
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group and whether it is kept. Texts without words, null ones included, and null ids link with nothing; rows that share an id are one document; an empty table gives an empty result."""
     groups = near_duplicates(documents(spark, sf_dir))
     return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
