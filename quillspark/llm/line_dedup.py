@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_groups, cut, documents, link_buckets, release, ship, small, whole_rows
+from .common import connected_groups, cut, documents, link_buckets, release, ship, small, whole_rows, worker_cache
 
 SIMILARITY = 0.9
 #: Bits in which SimHashes over all words may differ; lines that are 0.9 alike hardly ever differ in more.
@@ -202,6 +202,7 @@ def _slices(lines: pa.Array) -> Iterator[tuple[int, int]]:
 
 def digest_lines(lines: pa.Array) -> Iterator[tuple[int, _Lines, np.ndarray]]:
     """(number of the first line, the lines, their words' hashes), chunk by chunk."""
+    worker_cache("lines")
     lines = lines.cast(pa.large_string())
     for a, b in _slices(lines):
         some = _Lines(lines.slice(a, b - a))
@@ -291,6 +292,24 @@ def within(a: str, b: str, most: int) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def may_be_within(one: list[str], two: list[str], sims: np.ndarray, near: np.ndarray, similarity: float) -> np.ndarray:
+    """ones x twos: False where the edit distance is over its bound for certain.
+
+    Edit distance obeys the triangle inequality, so by their distances from a common text two texts
+    are at least the difference apart. It pays where pairs outnumber texts; the common text is the
+    one of ``two`` whose SimHash is nearest to their majority.
+    """
+    longer = np.maximum(np.array([len(t) for t in one])[:, None], [len(t) for t in two])
+    most = np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
+    if near.sum() <= 2 * sum(near.shape):
+        return np.ones(near.shape, bool)
+    bits = np.unpackbits(np.ascontiguousarray(sims).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+    middle = np.packbits(2 * bits.sum(0) > len(bits)).view("<u8")[0]
+    pivot = two[int(np.bitwise_count(sims ^ middle).argmin())]
+    far = [np.array([edit_distance(t, pivot) for t in texts]) for texts in (one, two)]
+    return np.abs(far[0][:, None] - far[1]) <= most
+
+
 def most_edits(one: int, two: int, similarity: float) -> int:
     return int((1 - similarity) * max(one, two) + 1e-9)
 
@@ -342,6 +361,7 @@ def repeated_lines(docs: DataFrame, key: str, text: str, words: int, distance: i
         (i, s, t), (j, z, y) = ([table.column(c) for c in ("id", "s", "t")] for table in (asking, asked))
         near = may & (np.bitwise_count(s.to_numpy().view(np.uint64)[:, None] ^ z.to_numpy().view(np.uint64)) <= distance)
         i, t, j, y = (c.to_pylist() for c in (i, t, j, y))
+        near &= may_be_within(t, y, z.to_numpy().view(np.uint64), near, similarity)
         one, two = asking.column("root").to_pylist(), asked.column("root").to_pylist()
         found, joined = [], {}
 
@@ -396,6 +416,7 @@ def dedup_lines(
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without repeated lines. Null and empty texts and null ids stay as they are; rows that share an id lose the same lines; an empty table gives an empty result."""
     docs = documents(spark, sf_dir).select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n_lines"))
     return dedup_lines(docs).select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines", "text")
 
