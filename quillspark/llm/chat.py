@@ -76,6 +76,7 @@ def render_perspectives(
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from each participant's side. Nulls, ties, repeated rows and an empty table are treated as ``render_perspectives`` says."""
     return render_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 

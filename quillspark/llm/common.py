@@ -6,6 +6,7 @@ import gc
 import sys
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pandas as pd
@@ -255,18 +256,30 @@ def _linked_in_blocks(left: DataFrame, items: DataFrame, compare: Compare, block
     return dealt.mapInArrow(found, "a bigint, b bigint").distinct()
 
 
+def slices(texts: pa.Array, rows: int = 256) -> Iterator[list]:
+    """An Arrow array's values as Python objects, some rows at a time: a worker never holds a batch twice."""
+    for start in range(0, len(texts), rows):
+        yield texts.slice(start, rows).to_pylist()
+
+
 def worker_cache(owner: str) -> dict:
     """A dict that outlives tasks in the Python worker (shipped modules are rebuilt for every task).
 
-    Only the operator that ran last has one: what another left there is dropped, so a worker that
-    serves one stage after another never holds the tables of two.
+    Only the operator that ran last has one: what another left there is dropped and its memory given
+    back, so a worker that serves one stage after another never holds the tables of two. Operators
+    that keep nothing call this too.
     """
+    import ctypes
     import types
 
     held = sys.modules.setdefault("_worker_cache_of_shipped_code", types.ModuleType("cache")).__dict__
     if held.get("owner") != owner:
         held["cache"] = {}
         held["owner"] = owner
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
     return held["cache"]
 
 

@@ -36,8 +36,8 @@ OVERLAPS = (3, 6, 12)
 SHARD_ROWS, BLOCK_ROWS = 1000, 1500
 #: Centres are broadcast: at most so many and the codebooks of residuals, however large the table.
 CLUSTERS, RESIDUALS = 2048, 64
-#: Projection trees, members of a leaf at most, neighbours, entry points.
-TREES, LEAF, DEGREE, ALPHA, SLACK, ENTRIES = 4, 32, 24, 1.2, 0.08, 48
+#: Projection trees, members of a leaf at most, candidates that are pruned, neighbours, entry points.
+TREES, LEAF, POOL, DEGREE, ALPHA, SLACK, ENTRIES = 4, 32, 48, 24, 1.2, 0.08, 48
 LOG = logging.getLogger(__name__)
 
 
@@ -78,8 +78,8 @@ def dots(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def leaf_mates(x: np.ndarray, seed: int) -> np.ndarray:
-    """members x LEAF others (-1: none) of the leaf of a random projection tree that each falls into."""
+def leaf_mates(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """members x LEAF others (-1: none) of the leaf of a random projection tree that each falls into, and their similarities."""
     n, rng = len(x), np.random.default_rng(seed)
     leaves = 1 << max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
     node, parts = np.zeros(n, np.int64), 1
@@ -93,8 +93,11 @@ def leaf_mates(x: np.ndarray, seed: int) -> np.ndarray:
     order = np.argsort(node, kind="stable")
     count = np.bincount(node, minlength=parts)
     mates = np.full((parts, LEAF), -1)
-    mates[node[order], np.arange(n) - np.repeat(np.cumsum(count) - count, count)] = order
-    return mates[node]
+    slot = np.empty(n, np.int64)
+    slot[order] = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
+    mates[node, slot] = np.arange(n)
+    own = x[mates]  # gathered once, leaf by leaf
+    return mates[node], (own @ own.transpose(0, 2, 1))[node, slot]
 
 
 def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, seed: int = 0) -> np.ndarray:
@@ -105,12 +108,16 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, seed
     if n < 2:
         return out
     rows = np.arange(n)
-    cand = np.concatenate([leaf_mates(x, seed * TREES + k) for k in range(TREES)] + [np.random.default_rng(seed).integers(0, n, (n, LEAF // 2))], 1)
-    cand = np.sort(cand, 1)
+    some = np.random.default_rng(seed).integers(0, n, (n, LEAF // 4))
+    found = [leaf_mates(x, seed * TREES + k) for k in range(TREES)] + [(some, dots(x, np.broadcast_to(rows[:, None], some.shape), some))]
+    cand, sims = (np.concatenate(c, 1) for c in zip(*found))
+    order = np.argsort(cand, 1)
+    cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
     alive = (cand >= 0) & (cand != rows[:, None])
     alive[:, 1:] &= cand[:, 1:] != cand[:, :-1]
-    cand = np.where(alive, cand, 0)
-    dist = np.where(alive, 2 - 2 * dots(x, np.broadcast_to(rows[:, None], cand.shape), cand), np.inf)
+    dist = np.where(alive, 2 - 2 * sims, np.inf)
+    pool = np.argpartition(dist, min(POOL, dist.shape[1]) - 1, axis=1)[:, :POOL]
+    cand, dist, alive = (np.take_along_axis(c, pool, 1) for c in (cand, dist, alive))
     for k in range(degree):
         best = np.where(alive, dist, np.inf).argmin(1)
         some = np.flatnonzero(alive[rows, best])
@@ -127,7 +134,10 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, seed
 
 
 def range_search(x: np.ndarray, adjacency: np.ndarray, limit: float, slack: float = SLACK, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b), both ways: members within ``limit`` of each other that are found over the graph."""
+    """(a, b), both ways: members within ``limit`` of each other that are found over the graph.
+
+    Members that tie, equal ones too, are found like others; one member alone has no links.
+    """
     n = len(x)
     rows = np.arange(n)
     seen = rows * n + rows
@@ -405,6 +415,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector with its links and its component. Unusable vectors (null, zero, null or non-finite components) and null ids link with nothing; equal vectors link; an empty table gives an empty result."""
     found = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "audit_recall")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, ship
+from .common import documents, ship, worker_cache
 
 UNIT = 64
 #: Bits of the inverse transform's fractions. Sums over 64 coefficients up to 900 stay under 2 ** 24.
@@ -437,6 +437,7 @@ def tensors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     names = ["key", "n_bytes", *(c.split()[0] for c in DIGEST.split(", "))]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("media")
         for batch in batches:
             start, held, size = 0, [], 0
             keys, texts = batch.column("key"), batch.column("text")

@@ -92,6 +92,7 @@ def mix_sources(
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents replicated to the sources' shares. A null source is a source of its own; equal ids get equal counts, null ids one draw; null and empty texts count as rows; an empty table gives an empty result."""
     mixed = mix_sources(documents(spark, sf_dir))
     return mixed.withColumn("rate", F.round("rate", 9))
 

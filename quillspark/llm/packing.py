@@ -15,12 +15,12 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, documents, ship, whole_rows, worker_cache
+from .common import cut, documents, ship, slices, whole_rows, worker_cache
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json
@@ -91,24 +91,29 @@ def token_pieces(
     Repeated rows and null keys have pieces of their own; an empty table has none.
     """
 
-    @F.pandas_udf("n bigint, crcs array<bigint>, ids array<binary>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n bigint, crcs array<bigint>, ids array<binary>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from zlib import crc32
 
+        import xxhash
+
         encode, end = _encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
         for texts in batches:
-            made: dict[str, tuple] = {}  # equal texts of a batch are encoded once
-            for t in map(lambda t: t or "", texts):
-                if t in made:
-                    continue
-                ids = encode(t) + end
-                n = len(ids) // 4
-                first = (n - 1) % capacity + 1
-                cuts = [0, *range(first, n + 1, capacity)]
-                pieces = [ids[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
-                made[t] = n, [crc32(p) for p in pieces], pieces if with_ids else None
-            out = [made[t or ""] for t in texts]
-            yield pd.DataFrame(out, columns=["n", "crcs", "ids"])
+            made: dict[bytes, tuple] = {}  # equal texts of a batch are encoded once
+            out = []
+            for t in (t or "" for some in slices(texts) for t in some):
+                name = xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
+                if name not in made:
+                    ids = encode(t) + end
+                    n = len(ids) // 4
+                    first = (n - 1) % capacity + 1
+                    cuts = [0, *range(first, n + 1, capacity)]
+                    pieces = [ids[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+                    made[name] = n, [crc32(p) for p in pieces], pieces if with_ids else None
+                out.append(made[name])
+            n, crcs, ids = zip(*out) if out else ((), (), ())
+            columns = [pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.binary()))]
+            yield pa.StructArray.from_arrays(columns, names=["n", "crcs", "ids"])
 
     first = F.expr(f"(_e.n - 1) % {capacity} + 1")
     rows = docs.select(F.col(key).alias("_k"), encoded(F.col(text)).alias("_e")).select(
@@ -298,6 +303,7 @@ def pack_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed. A null text counts as empty and is its end id alone; repeated rows and null ids are packed each; an empty table gives an empty result."""
     return pack_documents(documents(spark, sf_dir))
 
 

@@ -70,6 +70,7 @@ def shard_rows(
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards whose row counts are at most one apart. A null source is a source of its own, a null text has size 1, ties in doc_id go by the text; an empty table gives an empty result."""
     narrow = documents(spark, sf_dir).select(
         "doc_id", "source",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, ship, worker_cache
+from .common import cut, documents, ship, slices, worker_cache
 
 #: Labelled rows that a model is fitted on, at most about so many, chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -28,7 +28,7 @@ LEXICON_G2 = 25.0
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 #: Words that a worker keeps numbers of, and entries that a task counts before it hands them on.
-KEPT_WORDS, HELD_ENTRIES = 200_000, 200_000
+KEPT_WORDS, HELD_ENTRIES = 200_000, 100_000
 #: Folds of calibration; a row's features come from the lexicon of the other folds.
 FOLDS = 4
 YOU = frozenset(
@@ -60,8 +60,8 @@ def _core(word: str) -> str:
 class _Words:
     """Rows of numbers for words, kept per worker up to a bound."""
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: dict[str, float], most: int = KEPT_WORDS):
+        self.lexicon, self.most = lexicon, most
         self.clear()
 
     def clear(self) -> None:
@@ -88,7 +88,7 @@ class _Words:
     def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         at = self.at
         if new := [w for w in dict.fromkeys(words) if w not in at]:
-            if len(at) + len(new) > KEPT_WORDS:
+            if len(at) + len(new) > self.most:
                 self.clear()
                 at, new = self.at, list(dict.fromkeys(words))
             for w in new:
@@ -141,21 +141,23 @@ def learn_lexicons(labelled: DataFrame, text: str, label: str, fold: str, folds:
     """
     parts = max(folds, 1)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxic words")
         found: dict[str, list[int]] = {}
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"entry": list(found), "n": list(found.values())})
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.list_(pa.int32()))], names=["entry", "n"])
 
         for batch in batches:
-            for t, at in zip(batch["t"], batch["at"], strict=True):
-                for v in {v for w in set((t or "").split()) if (k := _core(w)) for v in _variants(k)}:
-                    if v not in found:
-                        found[v] = [0] * (2 * parts)
-                    found[v][at] += 1
-                if len(found) > HELD_ENTRIES:
-                    yield out()
-                    found = {}
+            for texts, places in zip(slices(batch.column("t")), slices(batch.column("at")), strict=True):
+                for t, at in zip(texts, places, strict=True):
+                    for v in {v for w in set((t or "").split()) if (k := _core(w)) for v in _variants(k)}:
+                        if v not in found:
+                            found[v] = [0] * (2 * parts)
+                        found[v][at] += 1
+                    if len(found) > HELD_ENTRIES:
+                        yield out()
+                        found.clear()
         if found:
             yield out()
 
@@ -164,7 +166,7 @@ def learn_lexicons(labelled: DataFrame, text: str, label: str, fold: str, folds:
     rows = labelled.select(F.col(text).alias("t"), at.alias("at"))
     size = {r["at"]: r["count"] for r in rows.groupBy("at").count().collect()}  # two rows a fold
     counts = cut(
-        rows.mapInPandas(counted, "entry string, n array<int>")
+        rows.mapInArrow(counted, "entry string, n array<int>")
         .groupBy("entry").agg(F.array(*(F.sum(F.col("n")[k]) for k in range(2 * parts))).alias("n"))
     )
 
@@ -213,7 +215,8 @@ class Trees:
 
 
 def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, l2: float = 1.0) -> Trees:
-    """Newton boosting of the logistic loss on quantile bins."""
+    """Newton boosting of the logistic loss on quantile bins. Rows that tie in a feature stay together; a
+    constant feature is never split; without rows of both classes the trees say the mean."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     code = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], 1)
     p0 = min(max(y.mean(), 1e-3), 1 - 1e-3)
@@ -286,11 +289,13 @@ class ToxicityModel:
 def _features(lexicons: list[dict[str, float]]):
     """(text, fold) -> features by the fold's lexicon."""
 
-    @F.pandas_udf("array<double>")
-    def features(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        words = [_Words(lexicon) for lexicon in lexicons]
+    @F.arrow_udf("array<double>")
+    def features(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        worker_cache("toxic features")
+        words = [_Words(lexicon, KEPT_WORDS // len(lexicons)) for lexicon in lexicons]
         for texts, folds in batches:
-            yield pd.Series([_text_features(t, words[k]) for t, k in zip(texts, folds, strict=True)], dtype=object)
+            found = [_text_features(t, words[k]) for some, which in zip(slices(texts), slices(folds), strict=True) for t, k in zip(some, which, strict=True)]
+            yield pa.array(found, pa.list_(pa.float64()))
 
     return features
 
@@ -335,12 +340,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the model's score of every whole text (0 to 1); null counts as empty."""
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = _words(model.lexicon)
         for texts in batches:
-            x = np.array([_text_features(t, words) for t in texts]).reshape(len(texts), len(FEATURES))
-            yield pd.Series(model.scores(x), dtype=float)
+            found = [np.zeros(0)]
+            for some in slices(texts):
+                x = np.array([_text_features(t, words) for t in some]).reshape(len(some), len(FEATURES))
+                found.append(model.scores(x))
+            yield pa.array(np.concatenate(found))
 
     return docs.withColumn(score, scored(F.col(text)))
 
@@ -352,6 +360,7 @@ def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score. Null and empty texts are scored by features of 0; repeated rows get equal scores; a null id isn't held out (null); an empty table gives an empty result."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit_toxicity(docs, training_labels(spark, sf_dir))
     return score_toxicity(docs, model).select(

@@ -142,6 +142,7 @@ def _joined(placed: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict. A null url, or one without ``://``, has an empty host and path and the default verdict; repeated pages are judged each; an empty table gives an empty result."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 

@@ -479,6 +479,22 @@ def test_edit_distance():
     assert L.edit_distance(x, x[:50] + "zz" + x[60:]) == slow_distance(x, x[:50] + "zz" + x[60:])
 
 
+def test_pairs_that_a_common_text_rules_out_are_apart():
+    r = random.Random(6)
+    base = prose(77, 30)
+    texts = []
+    for k in range(40):
+        said = base.split()
+        for _ in range(r.randrange(12)):
+            said[r.randrange(len(said))] = f"w{r.randrange(10**6)}"
+        texts.append(" ".join(said))
+    one, two = texts[:15], texts[15:]
+    sims = np.arange(len(two), dtype=np.uint64)
+    may = L.may_be_within(one, two, sims, np.ones((15, 25), bool), 0.9)
+    close = np.array([[L.edit_distance(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9) for y in two] for x in one])
+    assert (may | ~close).all() and (~may).sum() > 30 and L.may_be_within(one, two, sims, np.zeros((15, 25), bool), 0.9).all()
+
+
 def slow_distance(x, y):
     row = list(range(len(y) + 1))
     for i, a in enumerate(x, 1):
