@@ -28,7 +28,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 #: Shingles whose signatures are computed at once; bounds a worker's memory. A longer text goes alone.
 CHUNK = 200_000
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 

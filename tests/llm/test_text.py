@@ -592,7 +592,7 @@ def test_pipeline_against_its_stages_and_brute_force(spark, tmp_path):
     texts = {i: [prose(7000 + 3 * i + k, rng.choice((8, 25, 60))) for k in range(3)] for i in range(60)}
     for i in range(60, 90):  # near copies, of which the lines that differ by a letter go first
         texts[i] = [t if rng.random() < 0.5 else t[:20] + "qq" + t[20:] for t in texts[i - 60]]
-    for i in range(90, 100):
+    for i in range(90, 130):
         texts[i] = [*texts[i - 90][:1], prose(9000 + i, 30), "you utter nincompoop vileax scoundrel " * 2]
     rows = [(i, "\n".join(t), "en", f"s{i % 3}", 1) for i, t in texts.items()]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
