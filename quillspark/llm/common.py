@@ -158,8 +158,9 @@ def _star_rounds(edges: DataFrame) -> DataFrame:
         release(star.sparkSession)
 
 
-#: Some rows, others, and a matrix of which pairs of them to compare -> the pairs of ids that link.
-Compare = Callable[[pa.Table, pa.Table, np.ndarray], list[tuple[int, int]]]
+#: Columns (numbers as arrays, others as lists), places of some rows in them, of others, and a matrix of
+#: which pairs of those to compare -> the pairs of ids that link.
+Compare = Callable[[dict, np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]]
 #: Members of a bucket that are compared with one another in one task, and as many that ask them.
 BLOCK_MEMBERS = 256
 
@@ -250,7 +251,8 @@ def _linked_in_blocks(left: DataFrame, items: DataFrame, compare: Compare, block
     def linked(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
         table, seen = table.combine_chunks(), set()
         b, block, part, asking, own_block, own_part, root = (table.column(c).to_numpy() for c in ("b", "block", "part", "asking", "own_block", "own_part", "root"))
-        own = table.column("own").to_pylist()
+        columns = {c: table.column(c).to_numpy() if pa.types.is_integer(table.column(c).type) or pa.types.is_floating(table.column(c).type) else table.column(c).to_pylist() for c in table.column_names}
+        own = columns["own"]
         for start, end in zip(bounds, bounds[1:]):
             asks = start + np.flatnonzero(asking[start:end] & (own_part[start:end] == part[start]))
             asked = start + np.flatnonzero(own_block[start:end] == block[start])
@@ -261,8 +263,7 @@ def _linked_in_blocks(left: DataFrame, items: DataFrame, compare: Compare, block
                     # the first bucket that both have
                     may[n, k] = next(x for x in own[asked[k]] if x in mine) == b[start]
             if may.any():
-                rows = table.slice(start, end - start)
-                seen.update((min(x), max(x)) for x in compare(rows.take(asks - start), rows.take(asked - start), may))
+                seen.update((min(x), max(x)) for x in compare(columns, asks, asked, may))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.int64()) for k in range(2)], names=["a", "b"])
 
     dealt = placed.repartition("b", "block", "part").sortWithinPartitions("b", "block", "part")

@@ -357,12 +357,16 @@ def repeated_lines(docs: DataFrame, key: str, text: str, words: int, distance: i
 
         return both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
 
-    def compare(asking: pa.Table, asked: pa.Table, may: np.ndarray) -> list[tuple[int, int]]:
-        (i, s, t), (j, z, y) = ([table.column(c) for c in ("id", "s", "t")] for table in (asking, asked))
-        near = may & (np.bitwise_count(s.to_numpy().view(np.uint64)[:, None] ^ z.to_numpy().view(np.uint64)) <= distance)
-        i, t, j, y = (c.to_pylist() for c in (i, t, j, y))
-        near &= may_be_within(t, y, z.to_numpy().view(np.uint64), near, similarity)
-        one, two = asking.column("root").to_pylist(), asked.column("root").to_pylist()
+    def compare(columns: dict, asks: np.ndarray, asked: np.ndarray, may: np.ndarray) -> list[tuple[int, int]]:
+        sims = columns["s"].view(np.uint64)
+        near = may & (np.bitwise_count(sims[asks][:, None] ^ sims[asked]) <= distance)
+        if not near.any():
+            return []
+        (i, t, one), (j, y, two) = (([columns[c][k] for k in places] for c in ("id", "t", "root")) for places in (asks.tolist(), asked.tolist()))
+        i, j, one, two = (list(map(int, x)) for x in (i, j, one, two))
+        if near.sum() > 2 * sum(near.shape):
+            near &= may_be_within(t, y, sims[asked], near, similarity)
+
         found, joined = [], {}
 
         def root(x: int) -> int:

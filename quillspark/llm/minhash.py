@@ -208,13 +208,14 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similarity:
 def comparing(words: int = WORDS, similarity: float = SIMILARITY) -> Compare:
     """Of tables (id, text), the pairs asked for that overlap enough."""
 
-    def compare(asking: pa.Table, asked: pa.Table, may: np.ndarray) -> list[tuple[int, int]]:
-        found, ids = [], asked.column("id").to_numpy()
-        doc, key, count = _bags(asked.column("text").to_pylist(), words)
+    def compare(columns: dict, asks: np.ndarray, asked: np.ndarray, may: np.ndarray) -> list[tuple[int, int]]:
+        found, ids = [], columns["id"][asked]
+        doc, key, count = _bags([columns["text"][k] for k in asked.tolist()], words)
         size = np.bincount(doc, count, len(ids))
         order = np.argsort(key, kind="stable")
         doc, key, count = doc[order], key[order], count[order]
-        for n, (i, t) in enumerate(zip(asking.column("id").to_pylist(), asking.column("text").to_pylist(), strict=True)):
+        for n, place in enumerate(asks.tolist()):
+            i, t = int(columns["id"][place]), columns["text"][place]
             if not may[n].any():
                 continue
             mine, times = np.unique(shingles(t, words), return_counts=True)

@@ -249,8 +249,9 @@ def test_buckets_link_all_that_brute_force_links(spark):
     verify = lambda p, _: spark.createDataFrame([(x["a"], x["b"]) for x in p.collect() if near(x["a"], x["b"])], "a bigint, b bigint")
     said = lambda ids: ids.join(spark.createDataFrame(list(place.items()), "id bigint, x double"), "id")
 
-    def compare(asking, asked, may):
-        return [(int(i), int(j)) for n, (i, x) in enumerate(zip(*(asking[c].to_pylist() for c in ("id", "x")))) for k, (j, y) in enumerate(zip(*(asked[c].to_pylist() for c in ("id", "x")))) if may[n, k] and abs(x - y) < 0.02]
+    def compare(columns, asks, asked, may):
+        at = [(int(columns["id"][k]), columns["x"][k]) for k in range(len(columns["id"]))]
+        return [(at[p][0], at[q][0]) for n, p in enumerate(asks) for k, q in enumerate(asked) if may[n, k] and abs(at[p][1] - at[q][1]) < 0.02]
 
     # with few members a block, buckets fall into many blocks; without a round, blocks do all the work
     for rounds, block in ((3, 256), (1, 4), (0, 3)):
