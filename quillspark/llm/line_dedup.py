@@ -362,8 +362,9 @@ def repeated_lines(docs: DataFrame, key: str, text: str, words: int, distance: i
         near = may & (np.bitwise_count(sims[asks][:, None] ^ sims[asked]) <= distance)
         if not near.any():
             return []
-        (i, t, one), (j, y, two) = (([columns[c][k] for k in places] for c in ("id", "t", "root")) for places in (asks.tolist(), asked.tolist()))
-        i, j, one, two = (list(map(int, x)) for x in (i, j, one, two))
+        i, j = columns["id"][asks].tolist(), columns["id"][asked].tolist()
+        one, two = columns["root"][asks].tolist(), columns["root"][asked].tolist()
+        t, y = [columns["t"][k] for k in asks.tolist()], [columns["t"][k] for k in asked.tolist()]
         if near.sum() > 2 * sum(near.shape):
             near &= may_be_within(t, y, sims[asked], near, similarity)
 

@@ -545,6 +545,16 @@ def test_lines_against_brute_force(spark):
     assert gone <= first and len(gone) >= 0.97 * len(first) > 150
 
 
+def test_blocks_alone_find_what_rounds_find(spark, monkeypatch):
+    lines, texts = spark.createDataFrame(list(enumerate(line_corpus())), "doc_id long, text string"), near_copies()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = {r["doc_id"] for r in dedup_lines(lines).collect() if r["removed_lines"]}
+    for module in (L, H):
+        monkeypatch.setattr(module, "link_buckets", lambda *a, rounds=0, f=link_buckets: f(*a, rounds=0))
+    assert {r["doc_id"] for r in dedup_lines(lines).collect() if r["removed_lines"]} == want
+    assert {r["doc_id"]: r["component_id"] for r in H.near_duplicates(docs).collect()} == brute(texts)
+
+
 def test_registered_lines_against_brute_force(spark, tmp_path):
     df = spark.createDataFrame([(k, "\n".join(line_corpus()[k : k + 1] + ["own " + prose(5000 + k, 8)])) for k in range(len(line_corpus()))], "doc_id long, text string")
     df.write.parquet(str(tmp_path / "documents.parquet"))
