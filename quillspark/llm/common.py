@@ -162,7 +162,7 @@ def _star_rounds(edges: DataFrame) -> DataFrame:
 #: which pairs of those to compare -> the pairs of ids that link.
 Compare = Callable[[dict, np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]]
 #: Members of a bucket that are compared with one another in one task, and as many that ask them.
-BLOCK_MEMBERS = 256
+BLOCK_MEMBERS = 1024
 
 
 def link_buckets(
@@ -217,6 +217,19 @@ def link_buckets(
     return links if left.isEmpty() else links.union(cut(_linked_in_blocks(left, items, compare, block)))
 
 
+def met_before(ends: np.ndarray, bands: np.ndarray, asks: np.ndarray, asked: np.ndarray, bucket: int) -> np.ndarray:
+    """asks x asked: whether the two rows share a bucket below ``bucket``; row k has ``bands[ends[k] : ends[k + 1]]``."""
+    rows = np.union1d(asks, asked)
+    n = (ends[rows + 1] - ends[rows]).astype(np.int64)
+    own = bands[np.repeat(ends[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    row, own = np.repeat(np.arange(len(rows)), n)[own < bucket], own[own < bucket]
+    found, at, count = np.unique(own, return_inverse=True, return_counts=True)
+    shared = count > 1  # by two rows
+    has = np.zeros((len(rows), int(shared.sum())), np.float32)
+    has[row[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]] = 1
+    return has[np.searchsorted(rows, asks)] @ has[np.searchsorted(rows, asked)].T > 0
+
+
 def _linked_in_blocks(left: DataFrame, items: DataFrame, compare: Compare, block: int) -> DataFrame:
     """Links between members of different roots in the buckets ``left(b, id, root)``."""
     roots = left.groupBy("b", "root").agg(F.count("*").alias("k"))
@@ -251,19 +264,21 @@ def _linked_in_blocks(left: DataFrame, items: DataFrame, compare: Compare, block
     def linked(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
         table, seen = table.combine_chunks(), set()
         b, block, part, asking, own_block, own_part, root = (table.column(c).to_numpy() for c in ("b", "block", "part", "asking", "own_block", "own_part", "root"))
-        columns = {c: table.column(c).to_numpy() if pa.types.is_integer(table.column(c).type) or pa.types.is_floating(table.column(c).type) else table.column(c).to_pylist() for c in table.column_names}
-        own = columns["own"]
+        own = table.column("own").chunk(0)
+        ends, bands = own.offsets.to_numpy(), own.values.to_numpy()
+        table = table.drop_columns(["own"])
         for start, end in zip(bounds, bounds[1:]):
             asks = start + np.flatnonzero(asking[start:end] & (own_part[start:end] == part[start]))
             asked = start + np.flatnonzero(own_block[start:end] == block[start])
             may = root[asks][:, None] != root[asked]
-            for n, i in enumerate(asks.tolist()):
-                mine = set(own[i])
-                for k in np.flatnonzero(may[n]).tolist():
-                    # the first bucket that both have
-                    may[n, k] = next(x for x in own[asked[k]] if x in mine) == b[start]
             if may.any():
-                seen.update((min(x), max(x)) for x in compare(columns, asks, asked, may))
+                may &= ~met_before(ends, bands, asks, asked, b[start])
+            if may.any():
+                asks, asked, may = asks[may.any(1)], asked[may.any(0)], may[np.ix_(may.any(1), may.any(0))]
+                rows = np.union1d(asks, asked)  # only their texts become Python objects
+                some = table.take(pa.array(rows)).combine_chunks()
+                columns = {c: x.to_numpy() if pa.types.is_integer(x.type) or pa.types.is_floating(x.type) else x.to_pylist() for c, x in zip(some.column_names, some.columns)}
+                seen.update((min(x), max(x)) for x in compare(columns, np.searchsorted(rows, asks), np.searchsorted(rows, asked), may))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.int64()) for k in range(2)], names=["a", "b"])
 
     dealt = placed.repartition("b", "block", "part").sortWithinPartitions("b", "block", "part")

@@ -29,6 +29,10 @@ BANDS, ROWS = 26, 5
 #: Shingles whose signatures are computed at once; bounds a worker's memory. A longer text goes alone.
 CHUNK = 200_000
 KEPT_WORDS = 100_000
+#: Letters of texts that are compared at once, times of shingles in a product of matrices, and pairs counted one by one.
+LETTERS, FEATURES, PAIRS = 4_000_000, 4096, 1 << 20
+#: A shingle is counted by products of matrices if one in so many of the pairs has it.
+DENSE = 64
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -205,28 +209,79 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similarity:
     return both.mapInPandas(check, "a bigint, b bigint").distinct()
 
 
+def shared_counts(rows: int, doc: np.ndarray, key: np.ndarray, count: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """one x two: how many shingles two texts share, each as often as both have it; bags as ``_bags`` returns them.
+
+    Each time a text has a shingle is a feature. Those that many have are counted by a product of
+    matrices, the others pair by pair.
+    """
+    left, right = (np.zeros(rows, bool) for _ in "ab")
+    left[one], right[two] = True, True
+    # the k-th time of a shingle has the number (shingle, k); one that a single text has is shared by none
+    order = np.argsort(key, kind="stable")
+    doc, key, count = doc[order], key[order], count[order]
+    again = np.concatenate([[False], key[1:] == key[:-1]]) if len(key) else np.zeros(0, bool)
+    kept = again | np.concatenate([again[1:], [False]]) if len(key) else again
+    doc, count, again = doc[kept], count[kept], again[kept]
+    name = np.cumsum(~again)
+    doc, name = np.repeat(doc, count), np.repeat(name, count)
+    time = np.arange(len(name)) - np.repeat(np.cumsum(count) - count, count)
+    order = np.lexsort((time, name))
+    doc, name, time = doc[order], name[order], time[order]
+    feature = np.cumsum(np.concatenate([[0], (name[1:] != name[:-1]) | (time[1:] != time[:-1])])) if len(name) else name
+    features = int(feature[-1]) + 1 if len(feature) else 0
+    at = [np.full(rows, -1), np.full(rows, -1)]
+    at[0][one], at[1][two] = np.arange(len(one)), np.arange(len(two))
+    sides = [(at[0][doc[left[doc]]], feature[left[doc]]), (at[1][doc[right[doc]]], feature[right[doc]])]
+    n = [np.bincount(f, minlength=features) for _, f in sides]
+    pairs = n[0] * n[1]
+    out = np.zeros((len(one), len(two)))
+    dense = np.flatnonzero(pairs * DENSE > out.size)
+    for k in range(0, len(dense), FEATURES):
+        place = np.full(features, -1)
+        some = dense[k : k + FEATURES]
+        place[some] = np.arange(len(some))
+        held = []
+        for (row, f), height in zip(sides, out.shape):
+            has, own = np.zeros((height, len(some)), np.float32), place[f]
+            has[row[own >= 0], own[own >= 0]] = 1
+            held.append(has)
+        out += held[0] @ held[1].T
+    first = [np.cumsum(c) - c for c in n]
+    rest = np.flatnonzero((pairs > 0) & (pairs * DENSE <= out.size))
+    part = np.cumsum(pairs[rest]) // PAIRS
+    for some in np.split(rest, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(rest) else ():
+        f = np.repeat(some, pairs[some])
+        k = np.arange(len(f)) - np.repeat(np.cumsum(pairs[some]) - pairs[some], pairs[some])
+        i, j = sides[0][0][first[0][f] + k // n[1][f]], sides[1][0][first[1][f] + k % n[1][f]]
+        out += np.bincount(i * out.shape[1] + j, minlength=out.size).reshape(out.shape)
+    return out
+
+
 def comparing(words: int = WORDS, similarity: float = SIMILARITY) -> Compare:
-    """Of tables (id, text), the pairs asked for that overlap enough."""
+    """Of tables (id, root, text), the pairs asked for that overlap enough; of an asking text and those of one root the first."""
 
     def compare(columns: dict, asks: np.ndarray, asked: np.ndarray, may: np.ndarray) -> list[tuple[int, int]]:
-        found, ids = [], columns["id"][asked]
-        doc, key, count = _bags([columns["text"][k] for k in asked.tolist()], words)
-        size = np.bincount(doc, count, len(ids))
-        order = np.argsort(key, kind="stable")
-        doc, key, count = doc[order], key[order], count[order]
-        for n, place in enumerate(asks.tolist()):
-            i, t = int(columns["id"][place]), columns["text"][place]
-            if not may[n].any():
-                continue
-            mine, times = np.unique(shingles(t, words), return_counts=True)
-            # the places of each of its shingles among theirs
-            a, b = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
-            many = b - a
-            at = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            shared = np.bincount(doc[at], np.minimum(count[at], np.repeat(times, many)), len(ids))
-            near = may[n] & (shared > 0) & (shared >= similarity * (size + times.sum() - shared))
-            found += [(i, int(j)) for j in ids[near]]
-        return found
+        rows = np.union1d(asks, asked)
+        texts = [columns["text"][k] or "" for k in rows.tolist()]
+        if sum(map(len, texts)) > LETTERS and may.size > 1:  # in halves
+            k, along = max(may.shape) // 2, int(may.shape[1] >= may.shape[0])
+            halves = [(asks, asked[h], may[:, h]) if along else (asks[h], asked, may[h]) for h in (slice(None, k), slice(k, None))]
+            return [x for half in halves if half[2].any() for x in compare(columns, *half)]
+        doc, key, count = _bags(texts, words)
+        one, two = np.searchsorted(rows, asks), np.searchsorted(rows, asked)
+        size = np.bincount(doc, count, len(rows))
+        low, high = np.minimum(size[one][:, None], size[two]), np.maximum(size[one][:, None], size[two])
+        may = may & (low >= similarity * high)
+        if not may.any():
+            return []
+        shared = shared_counts(len(rows), doc, key, count, one, two)
+        near = may & (shared > 0) & (shared >= similarity * (size[one][:, None] + size[two] - shared))
+        i, j = np.nonzero(near)
+        # what has one root is connected, so an asking text's first link to it will do
+        _, root = np.unique(columns["root"][asked], return_inverse=True)
+        _, first = np.unique(i * len(asked) + root[j], return_index=True)
+        return list(zip(columns["id"][asks[i[first]]].tolist(), columns["id"][asked[j[first]]].tolist()))
 
     return compare
 

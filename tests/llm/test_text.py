@@ -14,7 +14,7 @@ from quillspark.llm import line_dedup as L
 from quillspark.llm import media as M
 from quillspark.llm import minhash as H
 from quillspark.llm import packing as P
-from quillspark.llm.common import connected_groups, link_buckets
+from quillspark.llm.common import connected_groups, link_buckets, met_before
 from quillspark.llm.embed_dedup import near_vectors
 from quillspark.llm.line_dedup import dedup_lines
 from quillspark.llm.toxicity import fit_isotonic, fit_toxicity, fit_trees, learn_lexicon, op6_toxicity, score_toxicity
@@ -259,9 +259,38 @@ def test_buckets_link_all_that_brute_force_links(spark):
         assert union_find([tuple(x) for x in links.collect()], place) == want
 
 
+def test_pairs_met_in_an_earlier_bucket():
+    r = random.Random(6)
+    own = [sorted(r.sample(range(-20, 20), r.randrange(1, 9))) for _ in range(40)]
+    ends, bands = np.cumsum([0, *map(len, own)]).astype(np.int32), np.concatenate(own).astype(np.int64)
+    asks, asked = np.arange(0, 40, 3), np.arange(5, 40)
+    for bucket in (-20, -3, 4, 19):
+        got = met_before(ends, bands, asks, asked, bucket)
+        assert got.tolist() == [[any(x < bucket and x in own[b] for x in own[a]) for b in asked] for a in asks]
+
+
 # --- near-duplicate documents ---
 
 
+def test_documents_of_a_block_link_once_a_group(monkeypatch):
+    r = random.Random(7)
+    start = [r.choice("abcdefgh") + r.choice("aeiou") for _ in range(120)]
+    texts = [" ".join(r.choice("xyz") if r.random() < 0.01 * (k % 8) else w for w in start) for k in range(60)] + ["a " * 30, "a " * 33, "", None]
+    bags = [dict(zip(*(x.tolist() for x in np.unique(H.shingles(t), return_counts=True)))) for t in texts]
+    share = [[sum(min(n, b.get(k, 0)) for k, n in a.items()) for b in bags] for a in bags]
+    like = lambda a, b: share[a][b] > 0 and share[a][b] >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - share[a][b])
+    asks, asked, root = np.arange(20, 64), np.arange(50), np.arange(64) // 5
+    may = root[asks][:, None] != root[asked]
+    want = {(a, root[b]) for a in asks for b in asked if root[a] != root[b] and like(a, b)}
+    for dense, pairs, letters in ((H.DENSE, H.PAIRS, H.LETTERS), (1, 50, H.LETTERS), (10**9, 50, H.LETTERS), (4, 1, 5000)):
+        monkeypatch.setattr(H, "DENSE", dense)
+        monkeypatch.setattr(H, "PAIRS", pairs)
+        monkeypatch.setattr(H, "LETTERS", letters)
+        got = H.comparing()({"id": np.arange(64), "root": root, "text": texts}, asks, asked, may)
+        assert all(like(a, b) and root[a] != root[b] for a, b in got)
+        assert {(a, root[b]) for a, b in got} == want and (letters < 10**6 or len(got) == len(want) > 100)
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     keys = H._mix(np.arange(1, 301, dtype=np.uint64))
