@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_groups, cut, documents, link_buckets, release, ship, small, whole_rows, worker_cache
+from .common import connected_groups, contracted, cut, documents, link_buckets, release, ship, small, whole_rows, worker_cache
 
 SIMILARITY = 0.9
 #: Bits in which SimHashes over all words may differ; lines that are 0.9 alike hardly ever differ in more.
@@ -36,6 +36,14 @@ LONG_WORDS, LONG_LETTERS, SHORT_WORDS, SHORT_LETTERS = 3, 15, 2, 8
 TINY, TINY_LETTERS = 9, 4
 #: The numbers of lines to remove are broadcast to the texts up to this size, else joined by shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Edits whose bits of a column fit one number, bytes of tables and pairs at a time in comparing many.
+BAND, TABLE_BYTES, PAIRS = 62, 16 << 20, 1 << 13
+#: Fewer pairs are compared one by one.
+FEW = 24
+#: A block's lines are compared with a common one first if there are so many pairs a line.
+PIVOT_PAIRS = 50
+#: Pairs of a block that are compared at first, the nearest of each asking line before its further ones; then four times as many.
+STEP = 1 << 10
 #: Bytes of lines that are hashed at once.
 CHUNK = 1 << 19
 
@@ -292,6 +300,82 @@ def within(a: str, b: str, most: int) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def all_within(texts: list[str], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the edit distances of the pairs ``texts[a]``, ``texts[b]`` are ``most`` at most, many pairs at a time.
+
+    A path of k edits leaves the diagonal by few signs, so 64 bits hold what of a column it may
+    pass (Hyyrö 2003); longer distances are worked out by ``within``.
+    """
+    out = np.zeros(len(a), bool)
+    size = np.array([len(t) for t in texts], np.int64)
+    a, b = (np.where(size[a] >= size[b], x, y) for x, y in ((a, b), (b, a)))
+    long = np.flatnonzero((most > BAND) | (len(a) < FEW))
+    out[long] = [within(texts[i], texts[j], k) for i, j, k in zip(a[long].tolist(), b[long].tolist(), most[long].tolist())]
+    left = np.flatnonzero((most <= BAND) & (len(a) >= FEW) & (np.abs(size[a] - size[b]) <= most))
+    out[left[size[b[left]] == 0]] = True
+    left = left[size[b[left]] > 0]
+    if not len(left):
+        return out
+    # the texts that take part, their signs as numbers, a row for each
+    used, at = np.unique(np.concatenate([a[left], b[left]]), return_inverse=True)
+    n = size[used]
+    signs, code = np.unique(np.frombuffer("".join(texts[k] for k in used.tolist()).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+    begin = np.cumsum(n) - n
+    words = (int(n.max()) + BAND) // 64 + 3
+    order = np.lexsort((n[at[: len(left)]], at[: len(left)]))
+    a, b, left = at[: len(left)][order], at[len(left) :][order], left[order]
+    # texts of about the same number of bits of tables and pairs at a time
+    number = np.cumsum(np.concatenate([[0], a[1:] != a[:-1]]))
+    part = number // max(TABLE_BYTES // (8 * len(signs) * words), 1)
+    for some in np.split(np.arange(len(a)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+        mine, row = np.unique(a[some], return_inverse=True)
+        table = np.zeros((len(mine), len(signs), words), np.uint64)
+        place = np.arange(n[mine].sum()) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
+        own = code[np.repeat(begin[mine], n[mine]) + place]
+        np.bitwise_or.at(table, (np.repeat(np.arange(len(mine)), n[mine]), own, (place >> 6) + 1), np.uint64(1) << (place & 63).astype(np.uint64))
+        by_end = np.argsort(n[b[some]], kind="stable")
+        for k in range(0, len(some), PAIRS):
+            few = by_end[k : k + PAIRS]
+            pair = some[few]
+            out[left[pair]] = _banded(table.reshape(-1), row[few] * (len(signs) * words), words, code, begin[b[pair]], n[a[pair]], n[b[pair]], most[left[pair]])
+    return out
+
+
+def _banded(table: np.ndarray, base: np.ndarray, words: int, code: np.ndarray, begin: np.ndarray, n1: np.ndarray, n2: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The bits of a column from ``below`` signs under the diagonal upwards, in the highest bit first."""
+    one, high = np.uint64(1), np.uint64(63)
+    out, who = np.zeros(len(base), bool), np.arange(len(base))
+    below = (most + n1 - n2) // 2
+    turn, end = n1 - below, n2  # the lowest bit goes along the diagonal, from ``turn`` on along the last row
+    plus = ~np.uint64(0) << (63 - below).astype(np.uint64)
+    minus, distance = np.zeros(len(base), np.uint64), below.copy()
+    least, first = most + end - turn, int(turn.min())
+    for i in range(int(n2.max())):
+        bit = below + (i + 1)
+        where = base + code[begin + i] * words + (bit >> 6)
+        off = (bit & 63).astype(np.uint64)
+        same = table[where] >> off | table[where + 1] << one << (high - off)
+        zero = (((same & plus) + plus) ^ plus) | same | minus
+        more, less = minus | ~(zero | plus), zero & plus
+        if i < first:
+            distance += (~zero >> high).astype(np.int64)
+        else:
+            row = np.clip(62 - (i - turn), 0, 63).astype(np.uint64)
+            along = (more >> row & one).astype(np.int64) - (less >> row & one).astype(np.int64)
+            distance += np.where(i < turn, (~zero >> high).astype(np.int64), along)
+        zero >>= one
+        plus, minus = less | ~(zero | more), zero & more
+        last = end == i + 1
+        if i % 16 == 15 or last.any():
+            out[who[last]] = distance[last] <= most[last]
+            stay = ~last & (distance <= least)
+            if not stay.any():
+                return out
+            if not stay.all():
+                who, base, begin, below, turn, end, most, least, plus, minus, distance = (x[stay] for x in (who, base, begin, below, turn, end, most, least, plus, minus, distance))
+    return out
+
+
 def may_be_within(one: list[str], two: list[str], sims: np.ndarray, near: np.ndarray, similarity: float) -> np.ndarray:
     """ones x twos: False where the edit distance is over its bound for certain.
 
@@ -352,36 +436,44 @@ def repeated_lines(docs: DataFrame, key: str, text: str, words: int, distance: i
 
         def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [within(x, y, most_edits(len(x), len(y), similarity)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                texts, n = batch.column("x").to_pylist() + batch.column("y").to_pylist(), batch.num_rows
+                most = [most_edits(len(x), len(y), similarity) for x, y in zip(texts, texts[n:])]
+                keep = all_within(texts, np.arange(n), np.arange(n, 2 * n), np.array(most, np.int64))
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
         return both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
 
     def compare(columns: dict, asks: np.ndarray, asked: np.ndarray, may: np.ndarray) -> list[tuple[int, int]]:
-        sims = columns["s"].view(np.uint64)
-        near = may & (np.bitwise_count(sims[asks][:, None] ^ sims[asked]) <= distance)
-        if not near.any():
-            return []
-        i, j = columns["id"][asks].tolist(), columns["id"][asked].tolist()
-        one, two = columns["root"][asks].tolist(), columns["root"][asked].tolist()
-        t, y = [columns["t"][k] for k in asks.tolist()], [columns["t"][k] for k in asked.tolist()]
-        if near.sum() > 2 * sum(near.shape):
-            near &= may_be_within(t, y, sims[asked], near, similarity)
-
-        found, joined = [], {}
-
-        def root(x: int) -> int:
-            while x in joined:
-                x = joined[x]
-            return x
-
-        for n, k in zip(*(x.tolist() for x in np.nonzero(near))):
+        sims, t = columns["s"].view(np.uint64), columns["t"]
+        apart = np.bitwise_count(sims[asks][:, None] ^ sims[asked])
+        size = np.array([len(x) for x in t], np.int64)
+        high = np.maximum(size[asks][:, None], size[asked])
+        most = ((1 - similarity) * high + 1e-9).astype(np.int64)
+        near = may & (apart <= distance) & (np.abs(size[asks][:, None] - size[asked]) <= most)
+        if near.sum() > PIVOT_PAIRS * sum(near.shape):
+            near &= may_be_within([t[k] for k in asks.tolist()], [t[k] for k in asked.tolist()], sims[asked], near, similarity)
+        i, j = np.nonzero(near)
+        order = np.lexsort((apart[i, j], i))
+        i, j = i[order], j[order]
+        rest = np.argsort(np.arange(len(i)) - np.searchsorted(i, i), kind="stable")
+        found, group, step = [], columns["root"].copy(), STEP
+        while True:
             # links already found may have connected the two
-            p, q = root(one[n]), root(two[k])
-            if p != q and within(t[n], y[k], most_edits(len(t[n]), len(y[k]), similarity)):
-                found.append((i[n], j[k]))
-                joined[max(p, q)] = min(p, q)
-        return found
+            rest = rest[group[asks[i[rest]]] != group[asked[j[rest]]]]
+            if not len(rest):
+                return found
+            some, rest, step = rest[:step], rest[step:], 4 * step
+            a, b = asks[i[some]], asked[j[some]]
+            link = all_within(t, a, b, most[i[some], j[some]])
+            a, b = a[link], b[link]
+            if not len(a):
+                continue
+            between = np.sort(np.stack([group[a], group[b]], 1), axis=1)
+            _, once = np.unique(between, axis=0, return_index=True)
+            found += zip(columns["id"][a[once]].tolist(), columns["id"][b[once]].tolist())
+            names, least = contracted(between[:, 0], between[:, 1])
+            at = np.minimum(np.searchsorted(names, group), len(names) - 1)
+            group = np.where(names[at] == group, least[at], group)
 
     roots = connected_groups(link_buckets(buckets, verify, compare, said, rounds=2)).withColumnRenamed("id", "h")
     # equal lines have both hashes in common, linked ones their root

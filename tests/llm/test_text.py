@@ -584,6 +584,28 @@ def test_blocks_alone_find_what_rounds_find(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in H.near_duplicates(docs).collect()} == brute(texts)
 
 
+def test_many_edit_distances_at_once(monkeypatch):
+    r = random.Random(9)
+    for letters in ("ab", "abcdefgh ", "aäß漢字🙂x"):
+        texts = []
+        for n in (0, 1, 5, 63, 64, 130, 330, 660):
+            start = [r.choice(letters) for _ in range(n)]
+            for _ in range(5):
+                t = list(start)
+                for _ in range(r.randrange(max(n // 7, 1) + 1)):
+                    k = r.randrange(len(t) + 1)
+                    t[k : k + r.randrange(2)] = [r.choice(letters)] * r.randrange(2)
+                texts.append(" ".join("".join(t).split()))  # as lines are normalised
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+        far = np.array([L.edit_distance(texts[i], texts[j]) for i, j in zip(a, b)])
+        for few, size, pairs in ((0, L.TABLE_BYTES, L.PAIRS), (0, 4000, 7), (10**6, L.TABLE_BYTES, L.PAIRS)):
+            for name, value in (("FEW", few), ("TABLE_BYTES", size), ("PAIRS", pairs)):
+                monkeypatch.setattr(L, name, value)
+            for most in (np.maximum(far + np.array([r.randrange(-2, 3) for _ in far]), 0), np.array([L.most_edits(len(texts[i]), len(texts[j]), 0.9) for i, j in zip(a, b)])):
+                assert (L.all_within(texts, a, b, most) == (far <= most)).all()
+    assert L.all_within(["a"], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
 def test_registered_lines_against_brute_force(spark, tmp_path):
     df = spark.createDataFrame([(k, "\n".join(line_corpus()[k : k + 1] + ["own " + prose(5000 + k, 8)])) for k in range(len(line_corpus()))], "doc_id long, text string")
     df.write.parquet(str(tmp_path / "documents.parquet"))
