@@ -396,7 +396,7 @@ def batch_search(rows: DataFrame, schema: Schema, field_name: str, queries: Data
     words = queries.select("qid", F.explode(F.array_distinct(cut.kept(F.col("text")))).alias("token"))
     docs = rows.select(F.col(schema.id).cast("string").alias("id"), cut.kept(f.column).alias("toks"))
     total = rows.count()
-    postings = docs.select("id", F.size("toks").alias("n"), F.explode("toks").alias("token")).join(
+    postings = docs.select("id", F.size("toks").alias("n"), "toks").select("id", "n", F.explode("toks").alias("token")).join(
         words.select("token").distinct(), "token", "left_semi"
     ).groupBy("token", "id").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
     df = postings.groupBy("token").agg(F.count("*").alias("df"))

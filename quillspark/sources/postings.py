@@ -33,8 +33,10 @@ def write_postings(rows: DataFrame, schema: Schema, path: str, buckets: int = BU
     each = []
     for f in schema.fields:
         if f.tokenized:
-            toks = analyzer(f.analyzer).kept(f.column)
-            each.append(rows.where(key.isNotNull()).select(F.lit(f.name).alias("field"), key.alias("id"), F.size(toks).alias("n"), F.explode(toks).alias("token")))
+            # a length beside explode() would be worked out again, the text cut into words anew, for each word
+            cut = rows.where(key.isNotNull()).select(key.alias("id"), analyzer(f.analyzer).kept(f.column).alias("toks"))
+            long = cut.select(F.lit(f.name).alias("field"), "id", F.size("toks").alias("n"), "toks")
+            each.append(long.select("field", "id", "n", F.explode("toks").alias("token")))
     if not each:
         raise ValueError("no field is tokenized")
     said = each[0]

@@ -250,3 +250,21 @@ def test_pushed_requests_and_values_worked_out_once(core):
     e = e.with_value("double_cat", lambda rows: rows["cat1"] * 2, "integer")
     got = e.search("SELECT * WHERE double_cat > 7 USING SCORE MODEL m BEGIN return double_cat() + 0.5; END").hits.collect()
     assert {r["id"]: r["score"] for r in got} == {"1": 16.5, "4": 8.5}
+
+
+def test_postings_cut_a_text_once(spark, tmp_path):
+    from quillspark.functions.analyzers import Analyzer, register
+    from quillspark.sources.postings import search_postings, write_postings
+
+    cuts = spark.sparkContext.accumulator(0)
+
+    def cut(text):
+        cuts.add(1)
+        return text.split()
+
+    register("counted", Analyzer(F.udf(cut, "array<string>"), str.split))
+    schema = Schema("id", (Field("text", tokenized=True, analyzer="counted"),))
+    rows = spark.createDataFrame([("1", "a b " * 200), ("2", "b c " * 300)], "id string, text string")
+    write_postings(rows, schema, str(tmp_path / "p"), buckets=2)
+    assert cuts.value <= 2 * 2  # of 1,000 words
+    assert {r["id"] for r in search_postings(spark, str(tmp_path / "p"), "text", "a c", schema).collect()} == {"1", "2"}
