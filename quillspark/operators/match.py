@@ -80,31 +80,54 @@ def between(c: Column, n: N.Range) -> Column:
     return c.isNotNull() if out is None else out
 
 
-def positions(f: Field, token: str) -> Column:
-    own = tokens(f)
+def once(c: Column, body) -> Column:
+    """``body`` of a value worked out once. A column that lambdas name may be put into them as its own
+    expression, and a text cut into words again for each element; a lambda's variable is not."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
+def _places(own: Column, token: str) -> Column:
     return F.filter(F.transform(own, lambda t, i: F.when(t == token, i)), lambda i: i.isNotNull())
 
 
+def positions(f: Field, token: str) -> Column:
+    return _places(tokens(f), token)
+
+
+#: Up to this slop a token is looked for at the places around its own, beyond it among all its places.
+NEAR = 16
+
+
 def phrase_count(n: N.Phrase) -> Column:
     """How often the phrase stands there; with slop, each first token's best match weighs 1 / (distance + 1)."""
-    first = positions(n.field, n.terms[0][1])
-    rest = [(p, positions(n.field, t)) for p, t in n.terms[1:]]
+    return once(tokens(n.field), lambda own: _phrase_count(n, own))
+
+
+def _phrase_count(n: N.Phrase, own: Column) -> Column:
+    first, rest = _places(own, n.terms[0][1]), n.terms[1:]
+
+    def stands(token: str, at: Column) -> Column:
+        return F.coalesce(F.get(own, at.cast("int")) == token, F.lit(False))
+
     if not n.slop:
-        def here(i):
-            out = F.lit(True)
-            for p, at in rest:
-                out = out & F.array_contains(at, (i + p).cast("int"))
-            return out
+        return F.size(F.filter(first, lambda i: _fold([stands(t, i + p) for p, t in rest] or [F.lit(True)], lambda a, b: a & b))).cast("double")
+
+    def weighed(off) -> Column:
+        """``off``: how far every other token is from its place in the phrase, for a first token's place; it adds up."""
+        def weight(i):
+            total = _fold(off(i), lambda a, b: a + b)
+            return F.when(total <= n.slop, 1.0 / (total + 1.0)).otherwise(0.0)
+
+        return F.aggregate(F.transform(first, weight), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
 
-        return F.size(F.filter(first, here)).cast("double")
+    if n.slop <= NEAR:
+        steps = F.array(*(F.lit(d) for d in range(n.slop + 1)))
+        return weighed(lambda i: [F.array_min(F.filter(steps, _beside(stands, t, i + p))) for p, t in rest])
+    return once(F.array(*(_places(own, t) for _, t in rest)), lambda at: weighed(lambda i: [F.array_min(F.transform(at[k], _off(i, p))) for k, (p, _) in enumerate(rest)]))
 
-    def weight(i):
-        # every other token shifted by its place in the phrase; what it is off adds up
-        off = [F.array_min(F.transform(at, _off(i, p))) for p, at in rest]
-        total = sum(off[1:], off[0])
-        return F.when(total <= n.slop, 1.0 / (total + 1.0)).otherwise(0.0)
 
-    return F.aggregate(F.transform(first, weight), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+def _beside(stands, token: str, at: Column):
+    return lambda d: stands(token, at - d) | stands(token, at + d)
 
 
 def _off(i: Column, p: int):

@@ -268,3 +268,41 @@ def test_postings_cut_a_text_once(spark, tmp_path):
     write_postings(rows, schema, str(tmp_path / "p"), buckets=2)
     assert cuts.value <= 2 * 2  # of 1,000 words
     assert {r["id"] for r in search_postings(spark, str(tmp_path / "p"), "text", "a c", schema).collect()} == {"1", "2"}
+
+
+TEXTS = Schema("id", (Field("text", tokenized=True, analyzer="simple"),))
+
+
+def _long(spark, n):
+    return Engine(TEXTS, spark.createDataFrame([("1", "the of " * n), ("2", "of the")], "id string, text string"))
+
+
+def test_phrase_in_a_long_text(spark):
+    _long(spark, 10).search("SELECT * BY QUERY IS 'text:\"the of\"'").scored.collect()
+    began = time.monotonic()
+    assert [r["id"] for r in _long(spark, 12_000).search("SELECT * BY QUERY IS 'text:\"the of\"'").scored.collect()] == ["1"]
+    assert time.monotonic() - began < 15  # minutes, if the text is cut into words for each of its places
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2, 5, 16, 17, 40])
+@pytest.mark.parametrize("phrase", ["a b", "a a", "b a c", "a x"])
+def test_phrase_against_brute_force(spark, slop, phrase):
+    import random
+
+    from quillspark.operators.match import phrase_count, with_tokens
+    from quillspark.plans import nodes as N
+
+    draw = random.Random(7)
+    texts = [" ".join(draw.choice("abcdefghi") for _ in range(draw.randrange(60))) for _ in range(40)]
+    f, terms = TEXTS.fields[0], tuple(enumerate(phrase.split()))
+
+    def want(t):
+        total = 0.0
+        for i in [i for i, w in enumerate(t) if w == terms[0][1]]:
+            off = [min((abs(j - i - p) for j, w in enumerate(t) if w == token), default=10**6) for p, token in terms[1:]]
+            total += 1.0 / (sum(off) + 1.0) if sum(off) <= slop else 0.0
+        return total
+
+    rows = with_tokens(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), {"text": f})
+    got = {r["id"]: r["n"] for r in rows.select("id", phrase_count(N.Phrase(f, terms, slop)).alias("n")).collect()}
+    assert got == pytest.approx({i: want(t.split()) for i, t in enumerate(texts)})
