@@ -504,12 +504,24 @@ _scored("flex_as_filter", "SELECT * WHERE FLEXIBLE_QUERY IS 'idiot this' FULL_MA
 _facet("facet_in_top", _orders, "SELECT * WHERE o_orderstatus = 'F' BROWSE BY day(10) IN TOP 50", [(f"(SELECT *, row_number() OVER (PARTITION BY shard ORDER BY o_orderkey) AS k FROM {SHARDED} WHERE o_orderstatus = 'F')", "day", "", 0, "k <= 50", 10)])
 
 
+#: Signs of text that one task counts the words of; what it holds for that follows its share, not the table.
+TASK_SIGNS = 8 << 20
+
+
+def _counted(rows: DataFrame, kind: str) -> DataFrame:
+    """(id, token, n): the tokens of ``rows`` (id, text) counted. Rows go by id to as many tasks as their
+    signs fill, and are cut there: an id's tokens are in one task, so they are counted in one step."""
+    signs = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(max(least, signs // TASK_SIGNS + 1), "id")
+    return dealt.select("id", F.explode(analyzer(kind).kept(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
+
+
 def _analyzed(name: str, table: str, key: str, column: str, kind: str, sql: str) -> None:
     """All tokens of a column, counted by text and token."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        rows = spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).cast("string").alias("id"), F.explode(analyzer(kind).kept(F.col(column))).alias("token"))
-        return rows.groupBy("id", "token").agg(F.count("*").alias("n"))
+        return _counted(spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).cast("string").alias("id"), F.col(column).alias("text")), kind)
 
     QUERIES[name] = query
     SQL[name] = f"SELECT id, token, count(*) AS n FROM (SELECT {key}::VARCHAR AS id, unnest({sql}) AS token FROM {table}) GROUP BY ALL"
@@ -522,8 +534,7 @@ _analyzed("analyze_whitespace", "part", "p_partkey", "p_name", "whitespace", "st
 
 def _delimited(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat("p_brand", F.lit("-the_wifi"), "p_size", F.lit("Of"), F.initcap("p_type"), F.lit("HTTPServer"))
-    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("id"), F.explode(analyzer("word_delimiter").kept(text)).alias("token"))
-    return rows.groupBy("id", "token").agg(F.count("*").alias("n"))
+    return _counted(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("id"), text.alias("text")), "word_delimiter")
 
 
 QUERIES["analyze_word_delimiter"] = _delimited

@@ -36,3 +36,18 @@ def test_query(spark, con, name):
 
 def test_every_query_is_listed():
     assert set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", ["analyze_word_delimiter", "analyze_standard", "analyze_whitespace"])
+def test_counting_words_takes_tasks_as_the_text_grows(spark, monkeypatch, name):
+    """An id's words are counted in the task that cuts them, of a bounded share of the text; none holds a file's."""
+    import re
+
+    from quillspark import queries
+
+    one = QUERIES[name](spark, DATA)
+    monkeypatch.setattr(queries, "TASK_SIGNS", 100, raising=False)
+    many = QUERIES[name](spark, DATA)
+    dealt = [re.findall(r"hashpartitioning\((.*?)#?\d*L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString()) for df in (one, many)]
+    assert [len(x) for x in dealt] == [1, 1] and int(dealt[1][0][1]) > 4 * int(dealt[0][0][1])
+    assert sorted(one.collect()) == sorted(many.collect())
