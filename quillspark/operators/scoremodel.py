@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..plans.nodes import ScoreModel
 from ..schema import Schema
+from .match import once
 
 UNROLL = 2000
 SIGNS = re.compile(
@@ -400,6 +401,15 @@ class _Compiler:
         self.env, self.kinds = dict(params), {k: v.kind for k, v in params.items()}
         self.done, self.result, self.broken, self.skipped = NO, None, NO, NO
         self.steps, self.notes = 0, []
+        self.held: dict[tuple, Column] | None = None  # in loops over values: what they ask of the row
+
+    def cell(self, key: tuple, make: Callable[[], Column]) -> Column:
+        """A value of the row, which a loop over values must not work out in each round."""
+        if self.held is None:
+            return make()
+        if key not in self.held:
+            self.held[key] = make()
+        return self.held[key]
 
     # statements
 
@@ -539,17 +549,29 @@ class _Compiler:
         if _returns(body):
             raise ScoreCodeError("score code: return inside a loop over values isn't supported")
 
-        def step(acc: Column, x: Column) -> Column:
-            inner = _Compiler(self.schema, self.matrix, self.raw_score, self.raw_distance, {})
-            inner.env, inner.kinds = dict(self.env), dict(self.kinds)
-            for n, k in zip(names, kinds, strict=True):
-                inner.env[n] = V(k, acc[n])
-            inner.env[name], inner.kinds[name] = V(kind, x), kind
-            inner.broken = V("bool", acc["__broken"])
-            inner.run(body, YES)
-            return F.struct(*(_cast(inner.env[n], k).col().alias(n) for n, k in zip(names, kinds, strict=True)), inner.broken.col().alias("__broken"))
-
-        done = F.aggregate(items.col(), start, step)
+        def walked(env: dict[str, V], held: dict[tuple, Column]) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                inner = _Compiler(self.schema, self.matrix, self.raw_score, self.raw_distance, {})
+                inner.env, inner.kinds, inner.held = dict(env), dict(self.kinds), held
+                for n, k in zip(names, kinds, strict=True):
+                    inner.env[n] = V(k, acc[n])
+                inner.env[name], inner.kinds[name] = V(kind, x), kind
+                inner.broken = V("bool", acc["__broken"])
+                inner.run(body, YES)
+                return F.struct(*(_cast(inner.env[n], k).col().alias(n) for n, k in zip(names, kinds, strict=True)), inner.broken.col().alias("__broken"))
+
+            return F.aggregate(items.col(), start, step)
+
+        # what the rounds read and don't change is worked out before them; the first walk finds what that is
+        held = {} if self.held is None else self.held
+        done = walked(self.env, held)
+        kept = {n: v for n, v in self.env.items() if not v.fixed and n in _named(body) and n not in (*names, name)}
+        cells = list(held.items()) if self.held is None else []
+        if kept or cells:
+            before = F.struct(*(v.col().alias(n) for n, v in kept.items()), *(c.alias(f"__cell{k}") for k, (_, c) in enumerate(cells)))
+            done = once(before, lambda s: walked(
+                self.env | {n: V(v.kind, s[n]) for n, v in kept.items()}, {key: s[f"__cell{k}"] for k, (key, _) in enumerate(cells)} if cells else held,
+            ))
         for n, k in zip(names, kinds, strict=True):
             self.env[n] = _choose(self.active(guard), V(k, done[n]), self.env[n])
 
@@ -667,6 +689,7 @@ class _Compiler:
         m = self.matrix
         if m is not None:
             at = lambda: tuple(self.index(a) for a in args)
+            own = lambda what, i, j: self.cell((what, i, j), lambda: getattr(m, what)(i, j))
             if name in ("getFieldLength", "getTermLength"):
                 return V("int", len(m.n.fields) if name == "getFieldLength" else len(m.words))
             if name == "getFieldBoost":
@@ -674,18 +697,18 @@ class _Compiler:
             if name == "getTermBoost":
                 return V("double", m.words[at()[0]][1])
             if name == "isMatched":
-                return V("bool", m.matched(*at()))
+                return V("bool", own("matched", *at()))
             if name == "getRawScore":
-                return V("double", m.raw(*at()))
+                return V("double", own("raw", *at()))
             if name == "getScore":
                 i, j = at()
-                return V("double", m.raw(i, j) * m.n.fields[i][1])
+                return V("double", own("raw", i, j) * m.n.fields[i][1])
             if name in ("freq", "getFreq"):
-                return V("int", m.frequency(*at()))
+                return V("int", own("frequency", *at()))
             if name in ("position", "getPosition"):
-                return V("int", F.coalesce(F.get(m.positions(*at()), F.lit(0)), F.lit(-1)))
+                return V("int", F.coalesce(F.get(own("positions", *at()), F.lit(0)), F.lit(-1)))
             if name in ("positions", "getPositions"):
-                return V("list:int", m.positions(*at()))
+                return V("list:int", own("positions", *at()))
             if name in ("text", "getText"):
                 return V("string", m.words[at()[-1]][0])
             if name == "field" and len(args) == 1:
@@ -693,23 +716,23 @@ class _Compiler:
             if name == "getTotalMatchedTerms":
                 hits = []
                 for j in range(len(m.words)):
-                    hit = m.matched(0, j)
+                    hit = own("matched", 0, j)
                     for i in range(1, len(m.n.fields)):
-                        hit = hit | m.matched(i, j)
+                        hit = hit | own("matched", i, j)
                     hits.append(hit.cast("int"))
                 return V("int", sum(hits[1:], hits[0]) if hits else 0)
             if name == "getMatchedField":
                 hits = []
                 for i in range(len(m.n.fields)):
-                    hit = m.matched(i, 0)
+                    hit = own("matched", i, 0)
                     for j in range(1, len(m.words)):
-                        hit = hit | m.matched(i, j)
+                        hit = hit | own("matched", i, j)
                     hits.append(hit.cast("int"))
                 return V("int", sum(hits[1:], hits[0]))
             if name == "getExpl":
                 return self.formatted([self.value(a) for a in args])
         if name == "score" and not args:
-            return V("double", self.raw_score if self.raw_score is not None else F.lit(1.0))
+            return V("double", self.cell(("score",), lambda: self.raw_score) if self.raw_score is not None else F.lit(1.0))
         if name == "distance" and not args:
             return V("double", F.coalesce(self.raw_distance, F.lit(0.0)) if self.raw_distance is not None else 0.0)
         if name == "doc" and not args:
@@ -721,7 +744,8 @@ class _Compiler:
             raise ScoreCodeError(f"score code: no field {name}")
         kind = {"integer": "int", "long": "long", "float": "double", "double": "double"}.get(f.type, "string")
         if f.multi:
-            return V("list:" + kind, F.coalesce(f.column.cast(f"array<{SQL[kind]}>"), F.expr(f"cast(array() as array<{SQL[kind]}>)")))
+            none = F.expr(f"cast(array() as array<{SQL[kind]}>)")
+            return V("list:" + kind, self.cell((f.name,), lambda: F.coalesce(f.column.cast(f"array<{SQL[kind]}>"), none)))
         zero = {"string": "", "double": 0.0}.get(kind, 0)
         return V(kind, F.coalesce(f.column.cast(SQL[kind]), F.lit(zero).cast(SQL[kind])))
 
@@ -828,6 +852,13 @@ def _assigned(body: list) -> set[str]:
     return out
 
 
+def _named(code) -> set[str]:
+    """The variables that code speaks of."""
+    if not isinstance(code, (list, tuple)):
+        return set()
+    return {code[1]} if len(code) == 2 and code[0] == "name" else set().union(*map(_named, code))
+
+
 def _returns(body: list) -> bool:
     return any(s[0] == "return" or any(isinstance(p, list) and _returns([q for q in p if isinstance(q, tuple)]) for p in s[1:]) for s in body)
 

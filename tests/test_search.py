@@ -306,3 +306,19 @@ def test_phrase_against_brute_force(spark, slop, phrase):
     rows = with_tokens(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), {"text": f})
     got = {r["id"]: r["n"] for r in rows.select("id", phrase_count(N.Phrase(f, terms, slop)).alias("n")).collect()}
     assert got == pytest.approx({i: want(t.split()) for i, t in enumerate(texts)})
+
+
+LOOPS = """SELECT * BY FLEXIBLE_QUERY IS 'the of' IN (text) USING MODEL m BEGIN
+float s = 0f; int n = 0; int k = positions(0, 1)[0];
+for (int p : positions(0, 0)) { for (int o : positions(0, 1)) { if (o == p + 1) { n += k; if (isMatched(0, 1)) { s += freq(0, 1); } } } }
+return n + s; END"""
+
+
+def test_loops_work_out_a_row_s_values_once(spark):
+    """What the rounds of a loop read of the row, other than the loop's own variables, isn't in the lambda of a round."""
+    _long(spark, 10).search(LOOPS).scored.collect()
+    began = time.monotonic()
+    rows = spark.createDataFrame([("1", "the of " + "x " * 30_000 + "the " * 1_000)], "id string, text string")
+    assert [(r["id"], r["__score"]) for r in Engine(TEXTS, rows).search(LOOPS).scored.collect()] == [("1", 2.0)]
+    assert {r["id"]: r["__score"] for r in _long(spark, 30).search(LOOPS).scored.collect()} == {"1": 30 * 1 + 30 * 30.0, "2": 0.0}
+    assert time.monotonic() - began < 15
