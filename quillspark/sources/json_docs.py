@@ -27,7 +27,9 @@ def dynamic_map(raw: Column) -> Column:
         pairs, F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<string>))"),
         lambda a, kv: F.map_concat(F.map_filter(a, lambda k, _: k != kv["key"]), F.map_from_arrays(F.array(kv["key"]), F.array(kv["value"]))),
     )
-    return F.coalesce(last, F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<string>))"))
+    none = F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<string>))")
+    # most documents have no such field; a backslash may stand for a sign of its name
+    return F.when(F.contains(raw, F.lit("_dynamic")) | F.contains(raw, F.lit("\\")), F.coalesce(last, none)).otherwise(none)
 
 
 def parse_documents(raw: DataFrame, schema: Schema, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,11 @@ class Folders:
         fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
 
+def _none(spark: SparkSession, struct: T.StructType) -> DataFrame:
+    """No rows, in a plan that starts no Python worker for them."""
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in struct.fields))
+
+
 class StreamTable:
     """A table that a stream keeps up to date: a base and, beside it, what each batch has changed.
 
@@ -61,7 +67,7 @@ class StreamTable:
     def read(self, before: int | None = None) -> DataFrame:
         struct = self.schema.struct()
         base, changes = self._state(before)
-        rows = self.spark.createDataFrame([], struct) if base is None else self.spark.read.schema(struct).parquet(f"{self.path}/base={base}")
+        rows = _none(self.spark, struct) if base is None else self.spark.read.schema(struct).parquet(f"{self.path}/base={base}")
         if not changes:
             return rows
         marked = T.StructType([*struct.fields, T.StructField(GONE, T.BooleanType())])
@@ -76,20 +82,28 @@ class StreamTable:
         Updates of ids that aren't there are written to ``failed``. Requests about whole tables are
         an error here: they belong to StreamTables.
         """
-        requests = parse_requests(batch)
-        whole = requests.where(F.col("kind").isin("DELETE_INDEX", "SWAP_INDEX")).select("kind").first()
-        if whole is not None:
-            raise ValueError(f"a single table takes no {whole['kind']}")
-        self.apply_requests(requests, number)
+        requests = parse_requests(batch).select("seq", "kind", "content", "id").persist(StorageLevel.DISK_ONLY)
+        try:
+            # in one job of all tasks; first() looks into one task, then a few more, and so on
+            whole = requests.where(F.col("kind").isin("DELETE_INDEX", "SWAP_INDEX")).agg(F.min("kind")).first()[0]
+            if whole is not None:
+                raise ValueError(f"a single table takes no {whole}")
+            self.apply_requests(requests, number)
+        finally:
+            requests.unpersist()
 
     def apply_requests(self, requests: DataFrame, number: int) -> None:
         put = requests.where(F.col("kind").isin("INDEX", "REPLACE", "UPDATE"))
         parsed = parse_documents(put.select("seq", "kind", F.col("content").alias("value")), self.schema, keep=("seq", "kind"))
         gone = requests.where("kind = 'DELETE'").select("seq", "kind", F.col("id").alias(self.schema.id))
-        log = parsed.unionByName(gone, allowMissingColumns=True)
-        done, failed = resolve_requests(self.read(number), log, self.schema.id, gone=GONE)
-        failed.write.mode("overwrite").parquet(f"{self.path}/failed={number}")
-        done.write.mode("overwrite").parquet(f"{self.path}/change={number}")
+        # both results read the log twice: its JSON is read and parsed once
+        log = parsed.unionByName(gone, allowMissingColumns=True).persist(StorageLevel.DISK_ONLY)
+        try:
+            done, failed = resolve_requests(self.read(number), log, self.schema.id, gone=GONE)
+            failed.write.mode("overwrite").parquet(f"{self.path}/failed={number}")
+            done.write.mode("overwrite").parquet(f"{self.path}/change={number}")
+        finally:
+            log.unpersist()
         base, changes = self._state(number + 1)
         if len(changes) >= self.compact:
             self.read(number + 1).write.mode("overwrite").parquet(f"{self.path}/base={number}")

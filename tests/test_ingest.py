@@ -130,3 +130,16 @@ def test_stream_tables_delete_and_swap_indexes(spark, tmp_path):
     assert {(r["id"], r["rank"]) for r in tables.read().collect()} == {("7", 3.0), ("8", None)} and set(tables.names()) == {"live"}
     with pytest.raises(ValueError, match="no index side"):
         tables.read("side")
+
+
+def test_a_stream_s_batch_is_read_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        reads.add(1)
+        return text
+
+    table = StreamTable(spark, str(tmp_path / "t"), S)
+    batch = lines_of(spark, [{"id": str(k), "title": "a"} for k in range(50)] + [{"type": "update", "content": {"id": "1", "rank": 5}}])
+    table.apply(batch.withColumn("value", F.udf(seen)("value")), 0)
+    assert table.read().count() == 50 and reads.value == 51
